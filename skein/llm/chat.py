@@ -24,12 +24,12 @@ _TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*) </turn>\n", re.S)
 
 
 def escape(text: str, pattern: re.Pattern = _SPECIAL) -> str:
-    """A backslash before every backslash, ``#`` and ``<``: no control string of the template is left in the text."""
-    return pattern.sub(lambda m: "\\" + m[0], text)
+    """Backslash, ``#`` and ``<`` become a backslash with itself, ``#`` and ``l``: no control string of the template is left in the text."""
+    return pattern.sub(lambda m: "\\" + ("l" if m[0] == "<" else m[0]), text)
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(r"\1", text)
+    return _UNESCAPE.sub(lambda m: "<" if m[1] == "l" else m[1], text)
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int, str]]]:

@@ -114,6 +114,9 @@ def links(fps: DataFrame, distance: int = 2, pair_bucket: int = PAIR_BUCKET) ->
         flips = [F.lit(0).cast("long")] + [F.lit(_signed(1 << b)) for b in range(BITS) if not own >> b & 1]
         rest = F.when(F.col("i") == i, F.array(*flips)).otherwise(rest)
     met = many.select("i", "fp", F.explode(rest).alias("flip")).select("i", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
+    if distance == 1:  # no half way: one of the two is the fingerprint that they meet in
+        other = many.select("i", F.col("fp").alias("z"))
+        return near.unionByName(met.where("fp <> z").join(other, ["i", "z"]).select(F.col("fp").alias("a"), F.col("z").alias("b")))
     first = met.groupBy("i", "z").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     far = met.join(first, ["i", "z"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     return near.unionByName(far)

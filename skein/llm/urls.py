@@ -76,7 +76,7 @@ def _log_ratio(seen: DataFrame, counts: DataFrame, share: float) -> DataFrame:
 
 
 def verdicts(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, share: float = SHARE) -> DataFrame:
-    """``pages`` with ``host, path, rule, verdict, score``.
+    """``pages`` with ``host, path, rule, verdict, score`` (columns of these names are replaced).
 
     The models are counted over the distinct (host, path) that a rule accepts
     or rejects.  ``score`` is the log-likelihood difference per character in
@@ -88,7 +88,7 @@ def verdicts(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str,
     URLs; a URL repeated by a third of the rows is counted once.
     """
     host, path = host_and_path(F.col(url_col))
-    rows = pages.withColumns({"host": host, "path": path})
+    rows = pages.drop("host", "path", "rule", "verdict", "score").withColumns({"host": host, "path": path})
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     names = save(rows.select("host", "path").distinct().withColumns({"rule": rule, "known": verdict}), "urls")
     pieces = names.select("host", "path", "known", F.explode(grams(folded(F.col("host"), F.col("path")))).alias("gram"))

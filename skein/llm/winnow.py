@@ -280,3 +280,18 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     keep = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_skein_row"), F.col(text_col).alias("_skein_text"))
     found = overlaps(keep, items, "_skein_row", "_skein_text")
     return found.where(F.size("hits") == 0).select("id.*")
+
+
+#: The same rows in DuckDB: every window of every item is looked up among all windows of its length in the documents.
+ORACLE_OP7 = r"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+bw as (select item_id, least(len(w), 10) n, unnest(range(1, len(w) - least(len(w), 10) + 2)) i, w from b where len(w) > 0),
+win as (select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') t from bw),
+dw as (select r, s.n n, unnest(range(1, len(w) - s.n + 2)) i, w from d, (select distinct n from win) s where len(w) >= s.n),
+hit as (select r, i, dw.n, item_id from dw join win on dw.n = win.n and array_to_string(w[i : i + dw.n - 1], ' ') = t),
+words as (select r, count(distinct j) n_hit from (select r, unnest(range(i, i + n)) j from hit) group by r),
+items as (select r, count(*) n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) ids from (select distinct r, item_id from hit) group by r)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join words using (r) left join items using (r)
+"""
