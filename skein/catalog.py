@@ -2,10 +2,276 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.functions.scalar import haversine
+from skein.model import Graph
+from skein.operators import analytics, kernels, layout, traverse
+from skein.plans.storage import save
+from skein.sources import codec, generate
+from skein.sources.tables import part_chain, with_coordinates
+
+Query = Callable[[SparkSession, str], DataFrame]
+#: A* aims at this vertex.
+TARGET = 979
+
+
+def graph(spark: SparkSession, sf_dir: str, by: str = "order") -> Graph:
+    g = part_chain(spark, sf_dir, by)
+    return Graph(g.vertices, save(g.edges, "graph"))
+
+
+def located(g: Graph) -> Graph:
+    return Graph(with_coordinates(g.vertices), g.edges)
+
+
+def _of(make: Callable[[Graph], DataFrame], by: str = "order") -> Query:
+    return lambda spark, sf_dir: make(graph(spark, sf_dir, by))
+
+
+def _scaled_ranks(g: Graph) -> DataFrame:
+    n = g.vertices.count()
+    return analytics.pagerank(g, 5).select("id", F.round(F.col("rank") * n, 6).alias("scaled_rank"))
+
+
+def _similar(g: Graph) -> DataFrame:
+    pairs = g.edges.where("src < 20").select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    out = analytics.similarity(g, pairs, 3)
+    return out.select("x", "y", F.round("lrw", 12).alias("lrw"), F.round("srw", 12).alias("srw"))
+
+
+def _conductance(g: Graph) -> DataFrame:
+    return analytics.conductance(g, 50).withColumn("value", F.round("value", 9))
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) for c in df.columns])
+
+
+def _to_target(g: Graph) -> DataFrame:
+    v = with_coordinates(g.vertices)
+    t = v.where(F.col("id") == 0).select(F.col("lon").alias("tlon"), F.col("lat").alias("tlat"))  # one row
+    return v.join(t, F.lit(True)).select("id", F.round(haversine(F.col("lon"), F.col("lat"), F.col("tlon"), F.col("tlat")), 4).alias("km"))
+
+
+def _offsets(g: Graph) -> DataFrame:
+    return analytics.csr_offsets(g)
+
+
+def _hash_order(g: Graph) -> DataFrame:
+    return layout.order_of(g, "hash")
+
+
+def _mapped(g: Graph) -> DataFrame:
+    return layout.apply_mapping(g, layout.order_of(g, "hash")).edges
+
+
+def _raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.select((F.col("l_partkey") % 200).alias("a"), (F.col("l_suppkey") % 200).alias("b"), (F.col("l_returnflag") == "R").alias("out"))
+
+
+def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.sources.text import merge
+
+    return merge(_raw_rows(spark, sf_dir)).select("a", "b", "out")
+
+
+def _astar(g: Graph) -> DataFrame:
+    t = TARGET if g.vertices.count() > TARGET else 1
+    return traverse.astar(located(g), 0, t).select("id", F.round("cost", 3).alias("cost"))
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.streaming.ingest import degree_counts
+
+    return degree_counts(spark, sf_dir)
+
+
+QUERIES: dict[str, Query] = {
+    "edges_ingest": _of(lambda g: g.edges),
+    "edges_ingest_supplier": _of(lambda g: g.edges, "supplier"),
+    "pairs_merge": _of(lambda g: g.pairs()),
+    "adjacency": _of(lambda g: g.adjacency()),
+    "flags_merge": _ingest,
+    "self_loop_filter": lambda s, d: _raw_rows(s, d).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")),
+    "undirected": _of(lambda g: g.as_undirected().edges),
+    "graph_summary": _of(lambda g: g.summary()),
+    "degree_out": _of(lambda g: g.degrees().select("id", "out_degree")),
+    "degree_total": _of(lambda g: g.degrees().select("id", "degree")),
+    "degree_distribution": _of(analytics.degree_distribution),
+    "max_degree": _of(lambda g: g.degrees().agg(F.max("degree").alias("max_degree"))),
+    "csr_offsets": _of(_offsets),
+    "csr_size": _of(lambda g: g.summary().select("bits_per_edge", "alist_bytes")),
+    "cal_size": _of(layout.cal_size),
+    "edge_ordinal": _of(layout.edge_ordinal),
+    "neighbor_higher": _of(lambda g: g.adjacency().where("nbr > id").select("id", "nbr")),
+    "static_entropy": _of(lambda g: _rounded(analytics.entropies(g))),
+    "static_deltas": _of(lambda g: _rounded(analytics.deltas(g).select("delta_vertices_mean", "delta_vertices_sd", "delta_edges_mean", "delta_edges_sd"), 3)),
+    "page_crossing": _of(lambda g: _rounded(analytics.deltas(g).select("prob_vertex_page_crossing", "prob_calist_page_crossing"))),
+    "conductance_p0": _of(lambda g: _conductance(g).where("part = 0")),
+    "conductance_all": _of(_conductance),
+    "haversine_to_target": _of(_to_target),
+    "pagerank_5": _of(_scaled_ranks),
+    "pagerank_5_supplier": _of(_scaled_ranks, "supplier"),
+    "lrw_srw_3": _of(_similar),
+    "bfs_levels_0": _of(lambda g: traverse.bfs_levels(g, 0)),
+    "bfs_undirected_0": _of(lambda g: traverse.bfs_levels(g, 0, undirected=True)),
+    "bfs_forest": _of(traverse.bfs_forest),
+    "bfs_forest_fixpoint": _of(lambda g: traverse.bfs_forest(g, one_task=0)),
+    "bfs_forest_supplier": _of(traverse.bfs_forest, "supplier"),
+    "bfs_forest_count": _of(lambda g: traverse.forest_count(traverse.bfs_forest(g)).select("components", "giant_size")),
+    "wcc_labels": _of(traverse.wcc),
+    "wcc_labels_supplier": _of(traverse.wcc, "supplier"),
+    "wcc_count": _of(lambda g: traverse.wcc(g).agg(F.countDistinct("component").alias("components"))),
+    "scc_labels": _of(traverse.scc),
+    "scc_count": _of(lambda g: traverse.scc(g).agg(F.countDistinct("component").alias("components")), "supplier"),
+    "sssp_0": _of(lambda g: traverse.sssp(g, 0)),
+    "sssp_forest": _of(traverse.sssp_forest),
+    "sssp_forest_fixpoint": _of(lambda g: traverse.sssp_forest(g, one_task=0)),
+    "sssp_limit_k": _of(lambda g: traverse.sssp_forest(g, limit=500)),
+    "sssp_first_tree": _of(lambda g: traverse.sssp_forest(g, only_start=True).select("id", "cost")),
+    "astar_0": _of(_astar),
+    "astar_found": _of(lambda g: traverse.astar_found(located(g), 0, 1)),
+    "kcore_numbers": _of(analytics.core_numbers),
+    "mis_members": _of(lambda g: analytics.maximal_independent_set(g).where("in_mis").select("id")),
+    "msf_edges": _of(traverse.msf),
+    "msf_weight": _of(lambda g: traverse.msf(g).agg(F.sum("weight").alias("weight"), F.count("*").alias("edges"))),
+    "prim_costs": _of(lambda g: kernels.prim_forest(g.as_undirected()).agg(F.sum("cost").alias("weight"), F.countDistinct("root").alias("trees"))),
+    "relabel_identity": _of(lambda g: layout.order_of(g, "identity")),
+    "relabel_hash": _of(_hash_order),
+    "relabel_bfs": _of(lambda g: layout.order_of(g, "bfs")),
+    "relabel_half": _of(lambda g: layout.order_of(g, "half")),
+    "apply_mapping": _of(_mapped),
+    "dot_lines": _of(layout.dot_lines),
+    "dfs_preorder": _of(kernels.dfs_forest),
+    "dfs_weight_remap": _of(kernels.subtree_order),
+    "kronecker_edges": lambda s, d: generate.kronecker_edges(s, 10, 8),
+    "random_weights": _of(lambda g: generate.with_random_weights(g).edges),
+    "codec_roundtrip_csr": _of(lambda g: codec.round_trip(g, "csr")),
+    "codec_roundtrip_cal": _of(lambda g: codec.round_trip(g, "cal")),
+    "stream_degrees": _daily,
+}
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def _graph_sql(key: str = "l_orderkey", keep: str = "l_returnflag = 'R'") -> str:
+    return f"""with recursive e as (select distinct src, dst, (1 + (least(src, dst) * 31 + greatest(src, dst) * 17) % 97)::double w from
+  (select l_partkey src, lead(l_partkey) over (partition by {key} order by l_orderkey, l_linenumber, l_partkey) dst from lineitem where {keep}) where dst is not null and src <> dst),
+v as (select p_partkey id from part), n as (select count(*) n from v),
+s as (select src a, dst b from e union select dst, src from e),
+p as (select distinct least(src, dst) a, greatest(src, dst) b, w from e),
+deg as (select id, (select count(*) from s where a = id) degree, (select count(*) from e where src = id) out_degree from v),
+bits as (select length(bin(greatest(n - 1, 1))) + 1 b from n)"""
+
+
+_R, _Q = _graph_sql(), _graph_sql("l_suppkey", "l_quantity >= 48")
+_FLAGS = "f as (select l_partkey % 200 a, l_suppkey % 200 b, l_returnflag = 'R' o from lineitem where l_partkey % 200 <> l_suppkey % 200)"
+_OFFSETS = "off as (select id, degree, coalesce(sum(degree * b) over (order by id rows between unbounded preceding and 1 preceding), 0)::bigint bit_offset from deg, bits)"
+_DELTAS = _OFFSETS + """, d as (select abs(s.a - s.b) * 16 dv, abs(x.bit_offset // 8 - y.bit_offset // 8) de from s join off x on x.id = s.a join off y on y.id = s.b)"""
+_COND = """c as (select a % 50 part, sum((a % 50 <> b % 50)::int) x, count(*) din from s group by 1),
+k as (select q.part, coalesce(x, 0)::bigint cross_, coalesce(din, 0)::bigint din, ((select count(*) from s) - coalesce(din, 0))::bigint dout from (select distinct id % 50 part from v) q left join c using (part))"""
+_COND_SELECT = "select part, cross_ as \"cross\", din, dout, round(case when least(din, dout) > 0 then cross_ / least(din, dout) when cross_ > 0 then 'inf'::double else 0 end, 9) as \"value\" from k"
+_RANKS = ", ".join(
+    f"r{k} as (select v.id, 0.15 / n + coalesce(s, 0) r from v cross join n left join (select dst, sum(0.85 * r / out_degree) s from e join r{k - 1} on r{k - 1}.id = src join deg on deg.id = src group by dst) t on t.dst = v.id)" for k in range(1, 6)
+)
+_PAGERANK = f", r0 as (select id, 1.0::double / n r from v, n), {_RANKS} select id, round(r * n, 6) scaled_rank from r5, n"
+_FOREST = """f(id, k) using key (id) as (select id, id * 1048576 from v union
+  select e.dst, min(f.k + 1) from f join e on f.id = e.src join recurring.f q on q.id = e.dst where f.k + 1 < q.k group by e.dst)"""
+_PATHS = """f(id, r, c) using key (id) as (select id, id, 0.0::double from v union
+  select dst, min(k).r, min(k).c from (select e.dst, {'r': f.r, 'c': f.c + e.w} k, q.r qr, q.c qc from f join e on f.id = e.src join recurring.f q on q.id = e.dst) where (k.r, k.c) < (qr, qc) group by dst)"""
+_SSSP = """d(id, cost) using key (id) as (select 0::bigint, 0.0::double union
+  select x.dst, min(d.cost + x.w) from d join {edges} x on d.id = x.src left join recurring.d r on r.id = x.dst where r.cost is null or d.cost + x.w < r.cost group by x.dst)"""
+_WCC = "c(id, component) using key (id) as (select id, id from v union select s.b, min(c.component) from c join s on c.id = s.a join recurring.c q on q.id = s.b where c.component < q.component group by s.b)"
+_SCC = "t(a, b) as (select id, id from v union select t.a, e.dst from t join e on t.b = e.src), scc as (select x.a id, min(x.b) component from t x join t y on x.a = y.b and x.b = y.a group by x.a)"
+_CORE = """k(it, id, c) as (select 0, id, degree from deg union all select it + 1, id, least(any_value(c), coalesce(max(least(rn, nc)), 0)) from (
+  select k.it, k.id, k.c, m.c nc, row_number() over (partition by k.id order by m.c desc) rn from k left join s on s.a = k.id left join k m on m.id = s.b) where it < 40 group by it, id)"""
+_MIS = """m(i, sel) as (select -1::bigint, []::bigint[] union all select i + 1, case when exists (select 1 from s where a = i + 1 and list_contains(m.sel, b)) then sel else list_append(sel, i + 1) end
+  from m where i + 1 < (select n from n))"""
+_CO = "co as (select id, radians(((id * 7919) % 360000) / 1000.0 - 180) lon, radians(((id * 104729) % 180000) / 1000.0 - 90) lat from v)"
+_HAV = "2 * 6371.0 * atan2(sqrt(h), sqrt(1 - h))"
+
+
+def _hav(a: str, b: str) -> str:
+    return f"pow(sin(({b}.lat - {a}.lat) / 2), 2) + cos({a}.lat) * cos({b}.lat) * pow(sin(({b}.lon - {a}.lon) / 2), 2)"
+
+
+_ASTAR = f"""{_CO}, tg as (select co.* from co, n where id = case when n > {TARGET} then {TARGET} else 1 end),
+ah as (select co.id, {_hav('co', 'tg')} h from co, tg), ae as (select src, dst, w + {_HAV} w from e join ah on ah.id = dst)"""
+_WALK = ", ".join(
+    [f"sd as (select distinct x s from ask union select distinct y from ask), u0 as (select s, s id, 1.0::double p from sd)"]
+    + [f"u{k} as (select u.s, s.b id, sum(p / degree) p from u{k - 1} u join s on s.a = u.id join deg on deg.id = u.id group by all)" for k in range(1, 4)]
+)
+_SIM = f""", ask as (select distinct src x, dst y from e where src < 20), {_WALK},
+us as (select 1 t, * from u1 union all select 2, * from u2 union all select 3, * from u3),
+both_ as (select ask.x, ask.y, t, degree * p v from ask join deg on deg.id = ask.x join us on us.s = ask.x and us.id = ask.y union all select ask.x, ask.y, t, degree * p from ask join deg on deg.id = ask.y join us on us.s = ask.y and us.id = ask.x)
+select ask.x, ask.y, round(coalesce(sum(v) filter (t = 3), 0) / (select count(*) from s), 12) lrw, round(coalesce(sum(v), 0) / (select count(*) from s), 12) srw from ask left join both_ using (x, y) group by ask.x, ask.y"""
+_HASHED = "hm as (select id, row_number() over (order by (id * 2654435761) % 4294967296, id) - 1 new_id from v)"
+
+ORACLES: dict[str, str] = {
+    "edges_ingest": f"{_R} select src, dst, w weight from e",
+    "edges_ingest_supplier": f"{_Q} select src, dst, w weight from e",
+    "pairs_merge": f"{_R} select a, b from p",
+    "adjacency": f"{_R} select a id, b nbr, not exists (select 1 from e where src = a and dst = b) incoming from s",
+    "flags_merge": f"with {_FLAGS} select a, b, bool_or(o) as \"out\" from f group by a, b",
+    "self_loop_filter": f"with {_FLAGS} select a, b, count(*) n from f group by a, b",
+    "undirected": f"{_R} select a src, b dst, min(w) weight from (select src a, dst b, w from e union all select dst, src, w from e) group by a, b",
+    "graph_summary": f"{_R} select n vertices, (select count(*) from s) alist_entries, b bits_per_edge, ((select count(*) from s) * b + 7) // 8 alist_bytes from n, bits",
+    "degree_out": f"{_R} select id, out_degree from deg",
+    "degree_total": f"{_R} select id, degree from deg",
+    "degree_distribution": f"{_R} select degree, count(*) vertices from deg group by degree",
+    "max_degree": f"{_R} select max(degree) max_degree from deg",
+    "csr_offsets": f"{_R}, {_OFFSETS} select id, degree, bit_offset from off",
+    "csr_size": f"{_R} select b bits_per_edge, ((select count(*) from s) * b + 7) // 8 alist_bytes from bits",
+    "cal_size": f"{_R} select (sum(x)::bigint + 7) // 8 alist_bytes from (select sum(length(bin(abs(a - b)))) + max(length(bin(abs(a - b)))) - 1 + 2 * count(*) x from s group by a)",
+    "edge_ordinal": f"{_R} select src, dst, row_number() over (partition by src order by dst) - 1 pos from e",
+    "neighbor_higher": f"{_R} select a id, b nbr from s where b > a",
+    "static_entropy": f"{_R}, m as (select count(*)::double m from s), x as (select count(*) / (select m from m) p from s group by b), y as (select count(*) / (select m from m) p from s group by abs(a - b)) select round((select sum(p * log2(1 / p)) from x), 6) entropy_direct, round(1 + (select sum(p * log2(1 / p)) from y), 6) entropy_delta",
+    "static_deltas": f"{_R}, {_DELTAS} select round(avg(dv), 3) delta_vertices_mean, round(stddev_pop(dv), 3) delta_vertices_sd, round(avg(de), 3) delta_edges_mean, round(stddev_pop(de), 3) delta_edges_sd from d",
+    "page_crossing": f"{_R}, {_DELTAS} select round(avg((dv >= 4096)::int), 6) prob_vertex_page_crossing, round(avg((de >= 4096)::int), 6) prob_calist_page_crossing from d",
+    "conductance_p0": f"{_R}, {_COND} {_COND_SELECT} where part = 0",
+    "conductance_all": f"{_R}, {_COND} {_COND_SELECT}",
+    "haversine_to_target": f"{_R}, {_CO}, z as (select * from co where id = 0), q as (select co.id, {_hav('co', 'z')} h from co, z) select id, round({_HAV}, 4) km from q",
+    "pagerank_5": f"{_R}{_PAGERANK}",
+    "pagerank_5_supplier": f"{_Q}{_PAGERANK}",
+    "lrw_srw_3": f"{_R}{_SIM}",
+    "bfs_levels_0": f"{_R}, {_SSSP.format(edges='(select src, dst, 1.0::double w from e)')} select id, cost::bigint as \"level\" from d",
+    "bfs_undirected_0": f"{_R}, {_SSSP.format(edges='(select a src, b dst, 1.0::double w from s)')} select id, cost::bigint as \"level\" from d",
+    "bfs_forest": f"{_R}, {_FOREST} select id, k // 1048576 root, k % 1048576 as \"level\" from f",
+    "bfs_forest_fixpoint": f"{_R}, {_FOREST} select id, k // 1048576 root, k % 1048576 as \"level\" from f",
+    "bfs_forest_supplier": f"{_Q}, {_FOREST} select id, k // 1048576 root, k % 1048576 as \"level\" from f",
+    "bfs_forest_count": f"{_R}, {_FOREST} select count(*) components, max(c) giant_size from (select k // 1048576 root, count(*) c from f group by 1)",
+    "wcc_labels": f"{_R}, {_WCC} select id, component from c",
+    "wcc_labels_supplier": f"{_Q}, {_WCC} select id, component from c",
+    "wcc_count": f"{_R}, {_WCC} select count(distinct component) components from c",
+    "scc_labels": f"{_R}, {_SCC} select id, component from scc",
+    "scc_count": f"{_Q}, {_SCC} select count(distinct component) components from scc",
+    "sssp_0": f"{_R}, {_SSSP.format(edges='e')} select id, cost from d",
+    "sssp_forest": f"{_R}, {_PATHS} select id, r root, c cost from f",
+    "sssp_forest_fixpoint": f"{_R}, {_PATHS} select id, r root, c cost from f",
+    "sssp_limit_k": f"{_R}, {_PATHS} select id, r root, c cost from f order by r, c, id limit 500",
+    "sssp_first_tree": f"{_R}, {_SSSP.format(edges='e')} select id, cost from d",
+    "astar_0": f"{_R}, {_ASTAR}, {_SSSP.format(edges='ae')} select id, round(cost, 3) cost from d",
+    "astar_found": f"{_R}, {_SSSP.format(edges='e')} select coalesce(bool_or(id = 1), false) found from d",
+    "kcore_numbers": f"{_R}, {_CORE} select id, c core from k where it = 40",
+    "mis_members": f"{_R}, {_MIS} select unnest(sel) id from m where i = (select n - 1 from n)",
+    "relabel_identity": f"{_R} select id, id new_id from v",
+    "relabel_hash": f"{_R}, {_HASHED} select id, new_id from hm",
+    "relabel_bfs": f"{_R}, {_FOREST} select id, row_number() over (order by k, id) - 1 new_id from f",
+    "apply_mapping": f"{_R}, {_HASHED} select x.new_id src, y.new_id dst, w weight from e join hm x on x.id = src join hm y on y.id = dst",
+    "dot_lines": f"{_R} select chr(9) || src || ' -> ' || dst || ';' line from e",
+    "codec_roundtrip_csr": f"{_R} select (select count(*) from s)::bigint entries, 0::bigint lost, ((select count(*) from s) * b + 7) // 8 alist_bytes from bits",
+    "codec_roundtrip_cal": f"{_R} select (select count(*) from s)::bigint entries, 0::bigint lost, (sum(x)::bigint + 7) // 8 alist_bytes from (select sum(length(bin(abs(a - b)))) + max(length(bin(abs(a - b)))) - 1 + 2 * count(*) x from s group by a)",
+    "stream_degrees": "select user_id, count(*) n_events, count(distinct event_type) n_types from events group by user_id",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
