@@ -15,7 +15,7 @@ from skein.llm.winnow import Words, split_words
 #: Words of a window and the step between windows: neighbours share eight words.
 WINDOW, STEP = 32, 24
 #: Labelled rows of each class, and characters of a text, that training uses at most.
-TRAIN_POSITIVE, TRAIN_NEGATIVE, TRAIN_CHARS = 1200, 1800, 8_000
+TRAIN_POSITIVE, TRAIN_NEGATIVE, TRAIN_CHARS = 1000, 1300, 4_000
 #: Score from which a text is rejected.
 THRESHOLD = 0.7
 #: Hidden units of each direction, of the attention; sizes of the embeddings and of their tables.
@@ -252,13 +252,15 @@ def _fresh(seed: int = 7) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _log_odds(rows: np.ndarray, text: np.ndarray, toxic: np.ndarray, use: np.ndarray, strength: float = 2.0) -> np.ndarray:
-    """Shrunken log odds of each table row by the numbers of toxic and other texts that hold it."""
+def _held(rows: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (table row, text) pairs."""
     pairs = np.unique(text.astype(np.int64) * EVIDENCE_ROWS + rows)
-    t, r = pairs // EVIDENCE_ROWS, pairs % EVIDENCE_ROWS
-    ok = use[t]
-    pos = np.bincount(r[ok & toxic[t]], minlength=EVIDENCE_ROWS)
-    neg = np.bincount(r[ok & ~toxic[t]], minlength=EVIDENCE_ROWS)
+    return (pairs % EVIDENCE_ROWS).astype(np.int32), (pairs // EVIDENCE_ROWS).astype(np.int32)
+
+
+def _log_odds(rows: np.ndarray, text: np.ndarray, toxic: np.ndarray, use: np.ndarray, strength: float = 2.0) -> np.ndarray:
+    """Shrunken log odds of each table row by the numbers of toxic and other texts that hold it, from :func:`_held` pairs."""
+    pos, neg = (np.bincount(rows[(use & side)[text]], minlength=EVIDENCE_ROWS) for side in (toxic, ~toxic))
     share = min(max((toxic & use).sum() / max(1, use.sum()), 1e-3), 1 - 1e-3)
     odds = np.log((pos + strength * share) / (neg + strength * (1 - share))) - np.log(share / (1 - share))
     return np.clip(odds, -1.5, 4).astype(np.float32)
@@ -275,17 +277,18 @@ def train(texts: list[str], labels: list[int], steps: int = 320, batch: int = 12
     if not len(y) or y.all() or not y.any():
         return Model(np.zeros(EVIDENCE_ROWS, np.float32), np.zeros(EVIDENCE_ROWS, np.float32), prior=float(y.mean()) if len(y) else 0.0)
     t = tokens(split_words(*text_bytes(pa.array(texts, pa.large_string()))))
-    of_word = np.repeat(np.arange(len(y)), np.diff(t.first))
-    of_gram = np.repeat(of_word, np.diff(np.append(t.letter, len(t.gram))))
+    of_word = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(t.first))
+    held_words = _held(t.evidence, of_word)
+    held_grams = _held(t.gram[t.whole], np.repeat(of_word, np.diff(np.append(t.letter, len(t.gram))))[t.whole])
     everyone = np.ones(len(y), bool)
-    model = Model(_log_odds(t.evidence, of_word, y, everyone), _log_odds(t.gram[t.whole], of_gram[t.whole], y, everyone), _fresh(seed))
+    model = Model(_log_odds(*held_words, y, everyone), _log_odds(*held_grams, y, everyone), _fresh(seed))
     fold = np.arange(len(y)) % FOLDS
     word_odds, gram_best = np.zeros(len(of_word), np.float32), np.zeros(len(of_word), np.float32)
     for k in range(FOLDS):
         side = fold == k
         mine = side[of_word]
-        word_odds[mine] = _log_odds(t.evidence, of_word, y, ~side)[t.evidence][mine]
-        gram_best[mine] = _best_gram(_log_odds(t.gram[t.whole], of_gram[t.whole], y, ~side), t)[mine]
+        word_odds[mine] = _log_odds(*held_words, y, ~side)[t.evidence][mine]
+        gram_best[mine] = _best_gram(_log_odds(*held_grams, y, ~side), t)[mine]
     text, start, size = windows_of(t.first)
     p, rng = model.params, np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
