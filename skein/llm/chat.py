@@ -164,7 +164,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     out = digests(formatted(conversations(rows.unionByName(extra))))
-    return out.withColumnRenamed("id", "conv_id")
+    return out.drop("n_tokens").withColumnRenamed("id", "conv_id")  # SQL cannot tell the tokens
 
 
 ORACLE_OP9 = r"""
