@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import map_batches, table
 
-#: Vocabulary file of the tokenizer; a parameter of every function that encodes.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: Vocabulary file of the tokenizer (a line is a token's bytes in base64, and its rank); a parameter of every function that encodes.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The pattern that cuts a text into the pieces which this vocabulary's merges never cross, and what it calls white space.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space of this many characters in a row is cut out before the pattern, which would overflow its stack in it.
+LONG_BLANK = 1 << 14
 #: Role whose texts are learnt.
 LEARNT = "assistant"
 _HEAD, _MID, _TAIL = "### ", ": ", " </turn>\n"
 _SPECIAL = re.compile(r"[\\#<]")
 _SPECIAL_ROLE = re.compile(r"[\\#<:]")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*) </turn>\n", re.S)
+_TURN = re.compile(r"### ([^\\:]*(?:\\.[^\\:]*)*): ([^\\<]*(?:\\.[^\\<]*)*) </turn>\n", re.S)
 
 
 def escape(text: str, pattern: re.Pattern = _SPECIAL) -> str:
@@ -29,6 +36,8 @@ def escape(text: str, pattern: re.Pattern = _SPECIAL) -> str:
 
 
 def unescape(text: str) -> str:
+    if "\\" not in text:
+        return text
     return _UNESCAPE.sub(lambda m: "<" if m[1] == "l" else m[1], text)
 
 
@@ -72,22 +81,42 @@ def align(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) ->
 
 
 class Encoder:
-    """A byte-level BPE that keeps offsets: every character belongs to a token, special strings are ordinary text."""
+    """A byte-level BPE that keeps offsets: every character belongs to a token, special strings are ordinary text.
 
-    def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
-        from tokenizers.processors import ByteLevel
-
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.post_processor = ByteLevel(trim_offsets=False)
-        self.tokenizer.encode_special_tokens = True
+    Tokens are runs of bytes, so the offsets follow from their lengths; a token
+    that holds a part of a character has the whole character's offsets.
+    """
 
-    def __call__(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-        if not text:
-            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-        got = self.tokenizer.encode(text, add_special_tokens=False)
-        offsets = np.array(got.offsets, np.int64).reshape(-1, 2)
-        return got.ids, offsets[:, 0], offsets[:, 1]
+    def __init__(self, vocabulary: str):
+        import tiktoken
+
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(str.split, vocabulary.splitlines())}
+        self.tokenizer = tiktoken.Encoding("chat", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        self.one_piece = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.blank = re.compile(f"[{WHITE}]{{{LONG_BLANK},}}")
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
+
+    def ids(self, text: str) -> np.ndarray:
+        """Of a long blank the pattern makes one piece, without its last character if other text follows; the rest is cut as if it were not there."""
+        out, at = [], 0
+        for m in self.blank.finditer(text) if len(text) >= LONG_BLANK else ():
+            end = m.end() - (m.end() < len(text))
+            out += [self.tokenizer.encode_ordinary(text[at : m.start()]), self.one_piece.encode_ordinary(text[m.start() : end])]
+            at = end
+        out.append(self.tokenizer.encode_ordinary(text[at:]))
+        return np.concatenate([np.array(x, np.int32) for x in out])
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = self.ids(text)
+        ends = np.cumsum(self.sizes[ids])
+        starts = ends - self.sizes[ids]
+        if not text.isascii():
+            raw = np.frombuffer(text.encode(), np.uint8)
+            nth = np.cumsum((raw & 0xC0) != 0x80)  # characters up to and with each byte
+            starts, ends = nth[starts] - 1, nth[ends - 1]
+        return ids, starts, ends
 
 
 def conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -113,14 +142,15 @@ def formatted(grouped: DataFrame, vocabulary: str = VOCABULARY, learnt: str = LE
 
     def make(batch: pa.RecordBatch) -> dict:
         encode = _encoder(shared.value)
-        text, ids, masks = [], [], []
+        text, ids, counts, masks = [], [], [0], []
         for turns in batch.column(1).to_pylist():
             line, spans = render([(t["role"], t["text"]) for t in turns])
             got, starts, ends = encode(line)
             text.append(line)
             ids.append(got)
+            counts.append(len(got))
             masks.append([x for run in align(starts, ends, [(s, e) for s, e, role in spans if role == learnt]) for x in run])
-        return {"id": batch.column(0), "formatted": pa.array(text, pa.string()), "tokens": pa.array(ids, pa.list_(pa.int32())), "masked": pa.array(masks, pa.list_(pa.int64()))}
+        return {"id": batch.column(0), "formatted": pa.array(text, pa.string()), "tokens": pa.ListArray.from_arrays(np.cumsum(counts, dtype=np.int32), np.concatenate(ids)), "masked": pa.array(masks, pa.list_(pa.int64()))}
 
     return map_batches(grouped.select("id", "turns"), make, f"id {kind}, formatted string, tokens array<int>, masked array<long>")
 
@@ -131,9 +161,6 @@ _cached: dict[int, Encoder] = {}
 def _encoder(vocabulary: str) -> Encoder:
     key = hash(vocabulary)
     if key not in _cached:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _cached[key] = Encoder(vocabulary)
     return _cached[key]
 
@@ -143,8 +170,8 @@ def digests(out: DataFrame) -> DataFrame:
     kind = dict(out.dtypes)["id"]
 
     def make(batch: pa.RecordBatch) -> dict:
-        cols: dict[str, list] = {k: [] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens")}
-        for line, ids, mask in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+        cols: dict[str, list] = {k: [] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
+        for line, mask in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
             turns = parse(line)
             learnt = "".join(unescape(line[mask[i + 2] : mask[i + 3]]) for i in range(0, len(mask), 4))
             cols["n_turns"].append(len(turns))
@@ -152,10 +179,9 @@ def digests(out: DataFrame) -> DataFrame:
             cols["loss_chars"].append(len(learnt))
             cols["loss_sha256"].append(hashlib.sha256(learnt.encode()).hexdigest())
             cols["formatted_chars"].append(len(line))
-            cols["n_tokens"].append(len(ids))
-        return {"id": batch.column(0), **cols}
+        return {"id": batch.column(0), **cols, "n_tokens": pc.list_value_length(batch.column(2)).cast(pa.int64())}
 
-    return map_batches(out.select("id", "formatted", "tokens", "masked"), make, f"id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+    return map_batches(out.select("id", "formatted", "tokens", "masked"), make, f"id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long", text_at=1)
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

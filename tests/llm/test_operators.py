@@ -475,6 +475,25 @@ def test_chat_masks(spark):
     assert chat.digests(chat.formatted(chat.conversations(df.limit(0)))).count() == 0
 
 
+def test_chat_tokens_against_another_library():
+    """Ids and offsets equal those of a second implementation of the same vocabulary, long blanks and divided characters included."""
+    from tokenizers import Tokenizer
+    from tokenizers.processors import ByteLevel
+
+    other = Tokenizer.from_file(chat.VOCABULARY.replace(".tiktoken", ".json"))
+    other.post_processor, other.encode_special_tokens = ByteLevel(trim_offsets=False), True
+    encode, rng = chat.Encoder(open(chat.VOCABULARY, encoding="utf-8").read()), random.Random(7)
+    parts = ["### ", "</turn>", "\\", "é", "日", "😀", " ", "\n", "\t", "\xa0", "\x1c", "'s", "a", "word", "12", "<|endoftext|>", "!"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(500)]
+    n = chat.LONG_BLANK
+    texts += ["a" + " " * n + "b", "\n" * (n + 9) + "#", " " * n + "b" + "\t" * (n + 1) + "\xa0" * n, "x" + "\n" * n + "\x1c" * n, " " * (n - 1) + "y"]
+    for text in texts:
+        ids, starts, ends = encode(text)
+        want = other.encode(text, add_special_tokens=False)
+        assert ids.tolist() == want.ids and list(zip(starts.tolist(), ends.tolist(), strict=True)) == want.offsets
+    assert len(encode("a" + " " * 2_000_000 + "b")[0]) == 2_000_001
+
+
 # --- toxicity
 
 
