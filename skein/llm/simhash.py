@@ -19,6 +19,12 @@ BITS, SHINGLE, SEED = 64, 3, 42
 #: Members of one segment bucket whose pairs are compared directly; larger buckets go the exact linear way.
 PAIR_BUCKET = 48
 _CHUNK = 1 << 15
+#: The stage that keeps one of similar documents: words of a shingle, least Jaccard similarity of two sets of shingles (numerator, denominator).
+STAGE_SHINGLE, ALIKE = 5, (4, 5)
+#: Bands of a MinHash signature and values in a band: sets of similarity 0.8 share no band with probability (1 - 0.8**4)**32 < 5e-8.
+BANDS, ROWS = 32, 4
+_TURNS = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -149,13 +155,98 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def shingle_set(text: bytes, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """Sorted distinct XXH64 of the word shingles of a UTF-8 text, A-Z lower-cased (fewer words: all of them; none: empty)."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    last = min(shingle, len(words)) - 1
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a : b - 1], SEED) for a, b in zip([0, *ends], ends[last:], strict=False)), np.uint64))
+
+
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, key, n, bands, hashes)`` for every row: its set of shingles, their number, a hash of the set, and the set's MinHash bands (empty set: none)."""
+
+    def make(batch: pa.RecordBatch) -> dict:
+        texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
+        sets = [shingle_set(t) for t in texts.to_pylist()]
+        n = np.array([len(x) for x in sets], np.int64)
+        flat, full = np.concatenate(sets), n > 0
+        starts = (np.cumsum(n) - n)[full]
+        bands = np.zeros((len(starts), BANDS), np.uint64)
+        for k, turn in enumerate(_TURNS if len(starts) else ()):
+            bands[:, k // ROWS] = bands[:, k // ROWS] * _MIX + np.minimum.reduceat(flat * turn, starts)
+        lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
+        keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
+        return {"id": batch.column(0), "key": keys.view(np.int64), "n": n, "bands": lists(full * BANDS, bands.reshape(-1)), "hashes": lists(n, flat)}
+
+    kind = dict(docs.dtypes)[id_col]
+    return map_batches(docs.select(id_col, text_col), make, f"id {kind}, key long, n long, bands array<long>, hashes array<long>", text_at=1)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of keys whose sets are similar enough, by their exact intersection."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    known = save(sets.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
+    x, y = known.select(F.col("key").alias("a"), F.col("hashes").alias("x")), known.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
+    both, either = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    # J = both / (either - both)
+    out = save(pairs.join(x, "a").join(y, "b").where(both * sum(ALIKE) >= either * ALIKE[0]).select("a", "b"), "alike")
+    drop(known)
+    return out
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair_bucket: int = PAIR_BUCKET) -> DataFrame:
+    """``(id, component)`` for every row of ``docs``: components of the texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Equal sets are one vertex.  Candidates share a MinHash band; each is then
+    compared by its whole set.  A bucket with more than ``pair_bucket`` members
+    links them to its smallest first, and then compares only members that are
+    still in different components, which gives the same components.  Names and
+    null ids are as in :func:`near_duplicates`.
+    """
+    prints = save(signatures(docs, id_col, text_col), "signatures")
+    groups = save(prints.groupBy("key").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "groups")
+    rows = groups.select("key", "n", F.posexplode("bands").alias("i", "band"))
+    buckets = rows.groupBy("i", "band").agg(F.count("*").alias("members"), F.min(F.struct("key", "n")).alias("least")).where("members > 1")
+    dealt = save(rows.join(buckets, ["i", "band"]), "buckets")
+    sizes = lambda n, m: F.least(n, m) * ALIKE[1] >= F.greatest(n, m) * ALIKE[0]
+
+    def pairs(of: DataFrame, differ) -> DataFrame:
+        x, y = of.alias("x"), of.alias("y")
+        on = (F.col("x.i") == F.col("y.i")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key"))
+        return x.join(y, on & differ & sizes(F.col("x.n"), F.col("y.n"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+
+    sets = prints.select("key", "hashes")
+    many = dealt.where(F.col("members") > pair_bucket)
+    star = many.where((F.col("key") != F.col("least.key")) & sizes(F.col("n"), F.col("least.n"))).select(F.col("least.key").alias("a"), F.col("key").alias("b"))
+    near = pairs(dealt.where(F.col("members") <= pair_bucket).select("i", "band", "key", "n"), F.lit(True))
+    edges = _alike(save(near.unionByName(star).distinct(), "pairs"), sets)
+    comp = connected_components(edges)
+    placed = many.join(comp.withColumnRenamed("id", "key"), "key", "left").select("i", "band", "key", "n", F.coalesce("component", "key").alias("c"))
+    rest = save(pairs(placed, F.col("x.c") != F.col("y.c")).distinct(), "pairs")
+    if not rest.isEmpty():
+        comp = connected_components(edges.unionByName(_alike(rest, sets)))
+    known = save(groups.join(comp.withColumnRenamed("id", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("root")), "roots")
+    least = known.groupBy("root").agg(F.min("first").alias("component"))
+    names = save(known.join(least, "root").select("key", "component"), "names")
+    out = save(prints.select("id", "key").join(names, "key").select("id", "component"), "components")
+    drop(prints, groups, dealt, edges, comp, rest, known, names)
+    return out
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays.
+    """The rows of ``docs`` without near-duplicates: of each component of :func:`similar_documents` the row with the smallest id stays.
 
     Rows without an id stay.  Of rows repeated with the same smallest id, one stays.
     """
-    out = near_duplicates(docs.select(id_col, text_col), id_col, text_col)
-    kept = out.where((F.col("id") == F.col("component")) | F.col("id").isNull()).select(F.col("id").alias("_skein_id")).distinct()
-    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_skein_id")), "left_semi")
-    named, unnamed = rows.where(F.col(id_col).isNotNull()), rows.where(F.col(id_col).isNull())
-    return named.dropDuplicates([id_col]).unionByName(unnamed)
+    out = similar_documents(docs.select(id_col, text_col), id_col, text_col)
+    kept = out.where((F.col("id") == F.col("component")) | F.col("id").isNull())
+    kept = save(kept.groupBy(F.col("id").alias("_skein_id")).agg(F.count("*").alias("_skein_n")), "kept")
+    again = F.col("_skein_id").isNotNull() & (F.col("_skein_n") > 1)
+    rows = lambda ids: docs.join(ids, docs[id_col].eqNullSafe(F.col("_skein_id")), "left_semi")
+    once, repeated = rows(kept.where(~again)), kept.where(again)
+    return once if repeated.isEmpty() else once.unionByName(rows(repeated).dropDuplicates([id_col]))
