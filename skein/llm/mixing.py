@@ -75,6 +75,24 @@ def position(demand: Column, rank: Column, schedules=SCHEDULES) -> Column:
     return out
 
 
+def _taken(docs: DataFrame, id_col: str, size_col: str, source_col: str, weights: tuple[int, ...], percent: int, most: int) -> DataFrame:
+    """``(id, size, source, before, rank, source_size, target, taken, words)``: what :func:`mix` takes, the source's words before the document and the words taken of the source."""
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size"), F.col(source_col).alias("source"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("h"),
+    )
+    rows = save(rows, "sizes")
+    goal = save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, most), "targets")
+    placed = running_sum(rows, ["source"], ["h", "id", "size"], "size", "before")
+    p, g = placed.alias("p"), goal.alias("g")
+    both = p.join(g, F.col("p.source").eqNullSafe(F.col("g.source")), "left").select("p.id", "p.size", "p.source", "p.before", "g.rank", "g.source_size", "g.target")
+    words = F.round("target").cast("long")
+    rounds = F.expr("cast(round(target) as bigint) div greatest(source_size, 1)")
+    left = words - rounds * F.col("source_size")
+    taken = rounds * F.col("size") + F.least(F.greatest(left - F.col("before"), F.lit(0).cast("long")), F.col("size"))
+    return both.withColumns({"taken": taken, "words": words})
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", size_col: str = "size", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT, most: int = MOST, schedules=SCHEDULES) -> DataFrame:
     """``(id, size, source, source_size, target, taken, position)`` for every row.
 
@@ -89,21 +107,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", size_col: str = "size", source_
     are pre-aggregated, and running sums are made over ranges of rows, so that
     one source may hold most rows.
     """
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size"), F.col(source_col).alias("source"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("h"),
-    )
-    rows = save(rows, "sizes")
-    goal = save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, most), "targets")
-    placed = running_sum(rows, ["source"], ["h", "id", "size"], "size", "before")
-    p, g = placed.alias("p"), goal.alias("g")
-    both = p.join(g, F.col("p.source").eqNullSafe(F.col("g.source")), "left").select("p.id", "p.size", "p.source", "p.before", "g.rank", "g.source_size", "g.target")
-    words = F.round("target").cast("long")
-    rounds = F.expr("cast(round(target) as bigint) div greatest(source_size, 1)")
-    left = words - rounds * F.col("source_size")
-    taken = rounds * F.col("size") + F.least(F.greatest(left - F.col("before"), F.lit(0).cast("long")), F.col("size"))
-    demand = F.when(words > 0, F.col("before") / words)
-    return both.withColumn("taken", taken).select("id", "size", "source", "source_size", "target", "taken", F.when(F.col("taken") > 0, position(demand, F.col("rank"), schedules)).alias("position"))
+    plan = _taken(docs, id_col, size_col, source_col, weights, percent, most)
+    demand = F.when(F.col("words") > 0, F.col("before") / F.col("words"))
+    return plan.select("id", "size", "source", "source_size", "target", "taken", F.when(F.col("taken") > 0, position(demand, F.col("rank"), schedules)).alias("position"))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,16 +137,19 @@ select doc_id, size, source_size, target, (words // greatest(source_size, 1) * s
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as the mix has them, whole documents, in order of their training position.
 
-    A document comes once for each round of its source that takes at least half of it.
+    A document comes once for each round of its source that takes at least half
+    of it, each time where the source's cumulative demand reaches it in that round.
     """
     names = docs.columns
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("id"), size_of(F.col(text_col)).alias("size"), F.col(source_col).alias("source"))
-    plan = mix(sized, "id")
+    plan = _taken(sized, "id", "size", "source", WEIGHTS, SHARE_PERCENT, MOST)
     times = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
-    plan = plan.where(times > 0).groupBy("id", "source", "size").agg(F.max(times).alias("n"), F.min("position").alias("position"))
+    plan = plan.where(times > 0).groupBy("id", "source", "size").agg(F.max(times).alias("n"), F.min("before").alias("before"), *[F.first(c).alias(c) for c in ("source_size", "words", "rank")])
     s, p = sized.alias("s"), save(plan, "plan").alias("p")
     on = F.col("s.id").eqNullSafe(F.col("p.id")) & F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.size") == F.col("p.size"))
-    rows = s.join(p, on).select("s.row", "p.position", F.explode(F.sequence(F.lit(1), F.col("p.n"))).alias("_skein_k"))
+    rows = s.join(p, on).select("s.row", "p.before", "p.source_size", "p.words", "p.rank", F.explode(F.sequence(F.lit(0), F.col("p.n") - 1)).alias("_skein_k"))
+    demand = (F.col("_skein_k") * F.col("source_size") + F.col("before")) / F.col("words")
+    rows = rows.select("row", position(demand, F.col("rank")).alias("position"), "_skein_k")
     ranged = rows.repartitionByRange("position", "_skein_k").sortWithinPartitions("position", "_skein_k")
     return ranged.select("row.*")
 

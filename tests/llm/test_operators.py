@@ -256,6 +256,14 @@ def test_mix(spark, docs):
     assert abs(sum(words(r.text) for r in out.collect()) - sum(r.taken for r in rows)) <= 6 * 3000
 
 
+def test_mixed_places_every_round(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, s) for s, n in (("a", 400), ("b", 40), ("c", 40)) for i in range(1000 * ord(s), 1000 * ord(s) + n)], "doc_id long, text string, source string")
+    out = [r.doc_id for r in mixing.mixed(docs).collect() if r.source == "b"]
+    n = {i: out.count(i) for i in out}
+    assert set(n.values()) == {2} and len(n) == 40
+    assert set(out[:40]) == set(out[40:]) == set(n) and out[:40] == out[40:]
+
+
 @pytest.mark.parametrize("knots", [*mixing.SCHEDULES, ((0.0, 0.0), (0.3, 2.0), (0.3001, 0.0), (1.0, 1.0))])
 def test_position_inverts_the_integrated_schedule(spark, knots):
     t = np.linspace(0, 1, 200_001)
