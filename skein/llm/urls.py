@@ -10,8 +10,8 @@ from skein.plans.storage import save
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Longest context, and the share of a class's characters from which a context is kept (so at most 1/share per order).
-ORDER, SHARE = 4, 1 / 20_000
+#: Longest context, and the share of a class's characters from which a context is kept: 0 keeps every one that was counted.
+ORDER, SHARE = 4, 0.0
 #: Symbols of a folded URL: a-z, 0, . / _ -, one for the rest, and the end mark.
 ALPHABET = 33
 #: Rows of the score table up to which it is sent to every task.
@@ -54,8 +54,8 @@ def _log_ratio(seen: DataFrame, counts: DataFrame, share: float) -> DataFrame:
 
     Witten-Bell smoothing from order 0 upwards: with n characters and t kinds
     of them after a context, P = (count + t * P_shorter) / (n + t).  A context
-    below the kept share of its class adds nothing, so each position uses the
-    longest contexts that its class knows well.
+    that its class never had, or below the kept share, adds nothing, so each
+    position uses the longest contexts that its class knows.
     """
     total = counts.agg(*[F.sum(c).alias(f"all_{c}") for c in ("allow", "block")])
     out = seen.select("gram")
