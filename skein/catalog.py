@@ -149,7 +149,7 @@ QUERIES: dict[str, Query] = {
     "dot_lines": _of(layout.dot_lines),
     "dfs_preorder": _of(kernels.dfs_forest),
     "dfs_weight_remap": _of(kernels.subtree_order),
-    "kronecker_edges": lambda s, d: generate.kronecker_edges(s, 10, 8),
+    "kronecker_edges": lambda s, d: generate.kronecker_edges(s),
     "random_weights": _of(lambda g: generate.with_random_weights(g).edges),
     "codec_roundtrip_csr": _of(lambda g: codec.round_trip(g, "csr")),
     "codec_roundtrip_cal": _of(lambda g: codec.round_trip(g, "cal")),

@@ -56,6 +56,10 @@ def test_components(toy):
     assert col(traverse.scc(toy), "component") == [0, 0, 0, 3, 3, 5, 6, 7, 8, 9]
 
 
+def test_kronecker_query_has_the_default_size(spark):
+    assert catalog.queries()["kronecker_edges"](spark, SF).count() == 16 << 16
+
+
 def test_analytics(toy):
     want = [0.044449844, 0.052782367, 0.06929375, 0.086949844, 0.088907367, 0.07025, 0.015, 0.015, 0.02775, 0.015]
     assert np.allclose(col(analytics.pagerank(toy, 5), "rank"), want, atol=1e-8)
