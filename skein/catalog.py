@@ -140,7 +140,7 @@ QUERIES: dict[str, Query] = {
     "mis_members": _of(lambda g: analytics.maximal_independent_set(g).where("in_mis").select("id")),
     "msf_edges": _of(traverse.msf),
     "msf_weight": _of(lambda g: traverse.msf(g).agg(F.sum("weight").alias("weight"), F.count("*").alias("edges"))),
-    "prim_costs": _of(lambda g: kernels.prim_forest(g.as_undirected()).agg(F.sum("cost").alias("weight"), F.countDistinct("root").alias("trees"))),
+    "prim_costs": _of(traverse.prim_costs),
     "relabel_identity": _of(lambda g: layout.order_of(g, "identity")),
     "relabel_hash": _of(_hash_order),
     "relabel_bfs": _of(lambda g: layout.order_of(g, "bfs")),

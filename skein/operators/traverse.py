@@ -165,5 +165,14 @@ def msf(g: Graph) -> DataFrame:
     return picked.select("a", "b", "weight").distinct()
 
 
+def prim_costs(g: Graph, one_task: int = kernels.ONE_TASK) -> DataFrame:
+    """One row ``(weight, trees)`` of a minimum spanning forest: by Prim's walk up to ``one_task`` vertices and edges, above by :func:`msf` and :func:`wcc`."""
+    both = g.as_undirected()
+    if kernels.fits(both, one_task):
+        return kernels.prim_forest(both).agg(F.sum("cost").alias("weight"), F.countDistinct("root").alias("trees"))
+    weight = msf(g).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"))
+    return weight.join(wcc(g).agg(F.countDistinct("component").alias("trees")), F.lit(True))
+
+
 def root_rank(start: int, n: int) -> Column:
     return F.pmod(F.col("id") - start, F.lit(n))

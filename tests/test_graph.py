@@ -56,6 +56,10 @@ def test_components(toy):
     assert col(traverse.scc(toy), "component") == [0, 0, 0, 3, 3, 5, 6, 7, 8, 9]
 
 
+def test_prim_costs_above_one_task(toy):
+    assert traverse.prim_costs(toy, 0).first() == traverse.prim_costs(toy).first()
+
+
 def test_kronecker_query_has_the_default_size(spark):
     assert catalog.queries()["kronecker_edges"](spark, SF).count() == 16 << 16
 
