@@ -11,10 +11,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests on one machine) a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; a session whose master is this machine may leave it unset and gets a temporary one."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = context.applicationId
         named = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="skein-"))
     return named.rstrip("/")
