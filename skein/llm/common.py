@@ -49,6 +49,21 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, Iterab
     return df.mapInArrow(run, schema)
 
 
+def keep_batches(df: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray], slice_bytes: int = 1 << 20) -> DataFrame:
+    """The rows of ``df`` for which ``keep`` of their texts is true; each row goes to Python once, as it is, and nothing is shuffled."""
+    at = df.columns.index(text_col)
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, at, slice_bytes):
+                kept = part.filter(pa.array(keep(part.column(at)), pa.bool_()))
+                if kept.num_rows:
+                    yield kept
+
+    return df.mapInArrow(run, schema)
+
+
 def _slices(batch: pa.RecordBatch, text_at: int | None, limit: int) -> Iterator[pa.RecordBatch]:
     if not batch.num_rows:
         return

@@ -7,7 +7,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import map_batches, table
@@ -16,7 +16,7 @@ from skein.plans.storage import drop, save
 
 #: Bits of a fingerprint, words of a shingle, seed of XXH64.
 BITS, SHINGLE, SEED = 64, 3, 42
-#: Members of one segment bucket whose pairs are compared directly; larger buckets go the exact linear way.
+#: Members of a MinHash bucket whose pairs are compared directly; larger buckets link their members to the smallest first.
 PAIR_BUCKET = 48
 _CHUNK = 1 << 15
 #: The stage that keeps one of similar documents: words of a shingle, least Jaccard similarity of two sets of shingles (numerator, denominator).
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return {"id": batch.column(0), "fp": fps.view(np.int64)}
 
     kind = dict(docs.dtypes)[id_col]
-    return map_batches(docs.select(id_col, text_col), make, f"id {kind}, fp long")
+    return map_batches(docs.select(id_col, text_col), make, f"id {kind}, fp long", text_at=1)
 
 
 def segments(distance: int, bits: int = BITS) -> list[tuple[int, int]]:
@@ -71,34 +71,42 @@ def _signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
-def links(fps: DataFrame, distance: int = 2, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
-    """Edges ``(a, b)`` that join exactly the distinct fingerprints ``fp`` reachable by steps of at most ``distance`` bits.
+def _keys(i: int, seg: Column, following: Column) -> Column:
+    """A hash of each chain of two segments; chains that share a hash by chance fail the Hamming test."""
+    return F.transform(following, lambda x: F.struct(F.lit(i).cast("byte").alias("i"), F.xxhash64(F.lit(i), seg, x).alias("key")))
+
+
+def _flipped(value: Column, flips: Column) -> Column:
+    return F.transform(flips, lambda x: value.bitwiseXOR(x))
+
+
+def links(fps: DataFrame, distance: int = 2) -> DataFrame:
+    """All pairs ``(a, b)``, a > b, of the distinct fingerprints ``fp`` that differ in at most ``distance`` bits.
 
     Pigeonring: the ``m = distance + 1`` segments lie on a ring.  If two
     fingerprints differ in at most ``distance`` bits, some start segment has
     the property that every chain of ``l`` consecutive segments from it differs
-    in at most ``floor(l * distance / m)`` bits.  For the first segment that is
-    0, so candidates meet in an equi-join on it; the longer chains prune
-    inside the join, before the full Hamming test.
-
-    A bucket with more than ``pair_bucket`` members is not compared pair by
-    pair.  There, two members within two bits of each other meet in a
-    fingerprint at most one bit from both; each member is sent to all of those
-    (its own segment is equal anyway), and the members that meet are joined to
-    the smallest.  The links are the same, and their number stays in
-    proportion to the members.  This needs ``distance <= 2``.
+    in at most ``floor(l * distance / m)`` bits: in none for the first segment,
+    in one at most for the first two.  So candidates meet in an equi-join on
+    that chain: one side comes with its own two segments, the other with its
+    first segment and every second segment that is at most a bit away.  For
+    distance 2 that is a key of 42 bits or more, whatever the number of
+    fingerprints.  Longer chains prune inside the join, before the full
+    Hamming test; where all rows hold one fingerprint there is nothing to join.
     """
-    if not 0 < distance <= 2:
-        raise ValueError("distance must be 1 or 2")
+    if distance < 1:
+        raise ValueError("distance must be at least 1")
     segs = segments(distance)
     m = len(segs)
     value = lambda low, width: F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
-    rows = fps.select("fp", F.posexplode(F.array(*[value(*s) for s in segs])).alias("i", "seg"))
-    counts = rows.groupBy("i", "seg").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = save(rows.join(counts, ["i", "seg"]), "buckets")
-
-    few = dealt.where(F.col("n") <= pair_bucket).select("i", "seg", "fp")
-    x, y = few.alias("x"), few.alias("y")
+    own, near = [], []
+    for i, (at, after) in enumerate(zip(segs, segs[1:] + segs[:1], strict=True)):
+        flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << b for b in range(after[1])))])
+        own.append(_keys(i, value(*at), F.array(value(*after))))
+        near.append(_keys(i, value(*at), _flipped(value(*after), flips)))
+    dealt = lambda rows: fps.select("fp", F.explode(F.concat(*rows)).alias("k")).select("fp", "k.*")
+    # three small rows for each fingerprint are the built side
+    x, y = dealt(own).hint("shuffle_hash").alias("x"), dealt(near).select("key", "fp").alias("y")
     differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     viable = F.lit(False)
     for i in range(m):
@@ -108,24 +116,8 @@ def links(fps: DataFrame, distance: int = 2, pair_bucket: int = PAIR_BUCKET) ->
             mask |= ((1 << width) - 1) << low
             chain = chain & (F.bit_count(differ.bitwiseAND(F.lit(_signed(mask)))) <= length * distance // m)
         viable = viable | chain
-    on = (F.col("x.i") == F.col("y.i")) & (F.col("x.seg") == F.col("y.seg")) & (F.col("x.fp") < F.col("y.fp"))
-    near = x.join(y, on & viable & (F.bit_count(differ) <= distance)).select(F.col("y.fp").alias("a"), F.col("x.fp").alias("b"))
-
-    many = dealt.where(F.col("n") > pair_bucket)
-    if many.isEmpty():
-        return near
-    rest = F.lit(None)
-    for i, (low, width) in enumerate(segs):
-        own = ((1 << width) - 1) << low
-        flips = [F.lit(0).cast("long")] + [F.lit(_signed(1 << b)) for b in range(BITS) if not own >> b & 1]
-        rest = F.when(F.col("i") == i, F.array(*flips)).otherwise(rest)
-    met = many.select("i", "fp", F.explode(rest).alias("flip")).select("i", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
-    if distance == 1:  # no half way: one of the two is the fingerprint that they meet in
-        other = many.select("i", F.col("fp").alias("z"))
-        return near.unionByName(met.where("fp <> z").join(other, ["i", "z"]).select(F.col("fp").alias("a"), F.col("z").alias("b")))
-    first = met.groupBy("i", "z").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    far = met.join(first, ["i", "z"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-    return near.unionByName(far)
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp"))
+    return x.join(y, on & viable & (F.bit_count(differ) <= distance)).select(F.col("y.fp").alias("a"), F.col("x.fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import map_batches, table, text_bytes
+from skein.llm.common import keep_batches, map_batches, table, text_bytes
 from skein.llm.winnow import Words, split_words
 
-#: Words of a window and the step between windows: neighbours share eight words.
-WINDOW, STEP = 32, 24
+#: Words of a window and the step between windows: every run of 16 words lies whole in some window.
+WINDOW, STEP = 32, 16
 #: Labelled rows of each class, and characters of a text, that training uses at most.
 TRAIN_POSITIVE, TRAIN_NEGATIVE, TRAIN_CHARS = 1000, 1300, 4_000
 #: Score from which a text is rejected.
@@ -103,17 +103,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _quick_tanh(x: np.ndarray) -> np.ndarray:
-    """A rational tanh (largest error 0.024), several times faster than the exact one; used for scoring only."""
-    x = np.clip(x, -3, 3)
-    q = x * x
-    x *= q + np.float32(27)
-    q *= np.float32(9)
-    q += np.float32(27)
-    x /= q
-    return x
-
-
 @dataclass
 class Model:
     """Tables of log odds (``odds`` of words, ``gram_odds`` of character n-grams) and the network's parameters."""
@@ -153,17 +142,17 @@ class Model:
                     now = g[s + j] if full else g[np.where(inside, s + j, none)]
                     u = h @ wh
                     now[:, : 2 * H] += u[:, : 2 * H]
-                    rz = _quick_tanh(np.float32(0.5) * now[:, : 2 * H])
+                    rz = np.tanh(np.float32(0.5) * now[:, : 2 * H])
                     rz += 1
                     rz *= np.float32(0.5)
                     u = u[:, 2 * H :] + bh
                     u *= rz[:, :H]
                     u += now[:, 2 * H :]
-                    new = _quick_tanh(u)
+                    new = np.tanh(u, out=u)
                     new += rz[:, H:] * (h - new)
                     h = new if full else np.where(inside[:, None], new, h)
                     hs[j, :, H * (d == "b") : H * (d == "b") + H] = h
-            e = _quick_tanh(hs @ p["A"] + p["a"]) @ p["v"]
+            e = np.tanh(hs @ p["A"] + p["a"]) @ p["v"]
             if short < long or not long:
                 e[np.arange(len(e))[:, None] >= n[None, :]] = -np.inf
             e -= np.maximum(e.max(axis=0), np.float32(-1e30))
@@ -350,8 +339,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return train([], [])
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame(rows, ids.select("_skein_id", "y").schema).distinct())
-    got = texts.join(wanted, "_skein_id").select("_skein_id", "x", "y").limit(2 * (positives + negatives)).collect()
-    got.sort(key=lambda r: (r[0], r[1], r[2]))
+    # of texts that share an id and a label, one: at most one row for each wanted pair
+    got = texts.join(wanted, "_skein_id").groupBy("_skein_id", "y").agg(F.min("x").alias("x")).select("_skein_id", "x", "y").collect()
+    got.sort(key=lambda r: (r[0], r[2], r[1]))
     return train([r[1] for r in got], [r[2] for r in got])
 
 
@@ -375,7 +365,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below the threshold."""
-    model = fit(docs, labels, id_col, text_col)
-    keep = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_skein_row"), F.col(text_col).alias("_skein_text"))
-    return scored(keep, model, "_skein_row", "_skein_text").where(F.col("score") < THRESHOLD).select("id.*")
+    """The rows of ``docs``, with all their columns, that score below the threshold.
+
+    A null or empty text is scored like any text without words, rows without an
+    id like others, repeated rows each by itself; without usable labels nothing
+    is rejected, and an empty table stays empty.  Columns of any name are kept
+    as they are.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
+    return keep_batches(docs, text_col, lambda texts: shared.value.score(*text_bytes(texts)) < THRESHOLD)

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import map_batches, table, text_bytes
+from skein.plans.storage import drop, save
 
 #: Words of a window that counts as shared, and of a fingerprinted k-gram.
-WINDOW, GRAM = 10, 5
-#: Bytes of benchmark text that one pass over the documents carries to every task.
-BLOCK_BYTES = 32 << 20
+WINDOW, GRAM = 10, 8
+#: Most bits (as a power of two) of the map of benchmark fingerprints that every task gets: 8 MB.
+MAP_BITS = 26
+#: Bytes of benchmark contexts up to which the join sends them to every task; beyond, both sides are shuffled with so many salts.
+BROADCAST_BYTES, SALTS = 16 << 20, 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -110,126 +112,180 @@ def winnow(grams: np.ndarray, span: int) -> np.ndarray:
     return np.unique(best)
 
 
-class Index:
-    """Windows and winnowed fingerprints of a block of benchmark items."""
+def gram_of(size: int, gram: int = GRAM) -> tuple[int, int]:
+    """For windows of ``size`` words: words of a k-gram, and how many consecutive k-grams a window holds."""
+    k = min(gram, size)
+    return k, size - k + 1
 
-    def __init__(self, items: list[tuple[object, str]], window: int = WINDOW, gram: int = GRAM):
-        self.window, self.gram, self.ids = window, gram, [i for i, _ in items]
-        column = pa.array([t or "" for _, t in items], pa.large_string())
-        words = split_words(*text_bytes(column))
-        marks: dict[int, list[np.ndarray]] = {}
-        self.windows: dict[int, dict[bytes, list[int]]] = {}
-        keys: dict[int, list[np.ndarray]] = {}
-        for k, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
-            n = int(b - a)
-            if not n:
+
+def marks(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, first word) of the winnowed k-grams for windows of ``size`` words; none spans two texts.
+
+    Two texts that share ``size`` words select the same k-gram inside them.
+    """
+    k, span = gram_of(size)
+    grams = gram_hashes(words.hash, k)
+    at = winnow(grams, span)  # across texts too: the windows inside a text are among those winnowed
+    text_of = np.searchsorted(words.first, at, "right")
+    at = at[text_of == np.searchsorted(words.first, at + (k - 1), "right")]
+    return _mix(grams[at] + np.uint64(size)), at
+
+
+def _context(words: Words, at: int, size: int, low: int, high: int) -> tuple[str, int]:
+    """The k-gram at a word with all words that a window around it may hold, between ``low`` and ``high``; and its place in there."""
+    k, span = gram_of(size)
+    a, b = max(low, at - span + 1), min(high, at + k + span - 1)
+    return words.line(a, b - a).decode(), at - a
+
+
+def contexts(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(item, size, key, ctx, at)``: the fingerprints of every item with the words around; an item without an id has an empty name."""
+
+    def make(batch: pa.RecordBatch) -> dict:
+        words = split_words(*text_bytes(batch.column(1)))
+        counts = np.minimum(np.diff(words.first), WINDOW)
+        out: dict[str, list] = {"item": [], "size": [], "key": [], "ctx": [], "at": []}
+        names = batch.column(0).to_pylist()
+        found = {size: marks(words, size) for size in np.unique(counts[counts > 0]).tolist()}
+        for size, (keys, at) in found.items():
+            text = np.searchsorted(words.first, at, "right") - 1
+            for key, pos, t in zip(keys.view(np.int64).tolist(), at.tolist(), text.tolist(), strict=True):
+                if counts[t] == size:
+                    line, place = _context(words, pos, size, int(words.first[t]), int(words.first[t + 1]))
+                    for name, value in zip(out, (names[t], size, key, line, place), strict=True):
+                        out[name].append(value)
+        return {c: pa.array(v, pa.string() if c in ("item", "ctx") else pa.int32() if c in ("size", "at") else pa.int64()) for c, v in out.items()}
+
+    named = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), text_col)
+    return map_batches(named, make, "item string, size int, key long, ctx string, at int", text_at=1)
+
+
+def _bit_map(known: DataFrame) -> tuple[int, np.ndarray, list[int]]:
+    """(bits, map, sizes): one bit for each benchmark fingerprint's first ``bits`` bits.
+
+    The map's size follows the number of fingerprints up to ``MAP_BITS``; with
+    more of them it lets more fingerprints through, and the join decides.
+    """
+    row = known.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()  # at most WINDOW sizes
+    bits = min(MAP_BITS, max(16, (16 * int(row["n"])).bit_length()))
+    slot = F.shiftrightunsigned("key", 64 - bits)
+    cells = known.groupBy(F.shiftright(slot, 6).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("ones")).toArrow()  # at most 2 ** (MAP_BITS - 6) rows
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[cells["cell"].to_numpy()] = cells["ones"].to_numpy()
+    return bits, out.view(np.uint64), sorted(row["sizes"])
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def fingerprinted(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, digest, n_words, marks)`` for every row: its winnowed fingerprints that the map of ``known`` ones lets through.
+
+    Fingerprints of a text with the same words around are one entry with all their positions.
+    """
+    bits, ones, sizes = _bit_map(known)
+    shared = docs.sparkSession.sparkContext.broadcast(ones)
+    kind = dict(docs.dtypes)[id_col]
+    entry = pa.struct([("key", pa.int64()), ("size", pa.int32()), ("ctx", pa.string()), ("at", pa.int32()), ("pos", pa.list_(pa.int64()))])
+
+    def make(batch: pa.RecordBatch) -> dict:
+        words = split_words(*text_bytes(batch.column(2)))
+        found: list[dict] = [{} for _ in range(batch.num_rows)]
+        for size in sizes:
+            keys, at = marks(words, size)
+            slot = keys >> np.uint64(64 - bits)
+            hit = np.flatnonzero(shared.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+            text = np.searchsorted(words.first, at[hit], "right") - 1
+            for key, pos, t in zip(keys[hit].view(np.int64).tolist(), at[hit].tolist(), text.tolist(), strict=True):
+                low = int(words.first[t])
+                line, place = _context(words, pos, size, low, int(words.first[t + 1]))
+                found[t].setdefault((key, size, line, place), []).append(pos - low)
+        rows = [[(*what, places) for what, places in f.items()] for f in found]
+        flat = [dict(zip(("key", "size", "ctx", "at", "pos"), x, strict=True)) for row in rows for x in row]
+        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        return {"id": batch.column(0), "digest": batch.column(1), "n_words": np.diff(words.first), "marks": pa.ListArray.from_arrays(ends, pa.array(flat, entry))}
+
+    rows = docs.select(F.col(id_col).alias("_skein_id"), digest(F.col(text_col)).alias("_skein_digest"), F.col(text_col).alias("_skein_text"))
+    return map_batches(rows, make, f"id {kind}, digest binary, n_words long, marks array<struct<key:bigint,size:int,ctx:string,at:int,pos:array<bigint>>>", text_at=2)
+
+
+def extended(pairs: DataFrame, kind: str) -> DataFrame:
+    """``(id, digest, spans, context)`` of the pairs whose k-grams grow, word by word to both sides, to a whole window; ``spans``: the shared words as flat [from, to) pairs."""
+
+    def make(batch: pa.RecordBatch) -> dict:
+        keep, spans = [], []
+        names = ("size", "ctx", "at", "pos", "item_ctx", "item_at")
+        for row, (size, ctx, at, pos, other, there) in enumerate(zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names], strict=True)):
+            mine, its = ctx.split(" "), other.split(" ")
+            k, _ = gram_of(size)
+            if mine[at : at + k] != its[there : there + k]:
                 continue
-            size = min(n, window)  # a short item is one window
-            lines = self.windows.setdefault(size, {})
-            for at in range(a, b - size + 1):
-                owners = lines.setdefault(words.line(at, size), [])
-                if not owners or owners[-1] != k:
-                    owners.append(k)
-            h = words.hash[a:b]
-            keys.setdefault(size, []).append(gram_hashes(h, size))
-            g = gram_hashes(h, self.gram_of(size))
-            marks.setdefault(size, []).append(g[winnow(g, size - self.gram_of(size) + 1)])
-        self.marks = {s: np.unique(np.concatenate(x)) for s, x in marks.items()}
-        self.keys = {s: np.unique(np.concatenate(x)) for s, x in keys.items()}
-
-    def gram_of(self, size: int) -> int:
-        return min(self.gram, size)
-
-
-def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(table, values)
-    at[at == len(table)] = 0
-    return table[at] == values
-
-
-def find(words: Words, index: Index) -> Iterator[tuple[int, int, int, list[int]]]:
-    """(text, first word, number of words, items) for every occurrence of a window.
-
-    For windows of t words and k-grams, the texts are winnowed over t - k + 1
-    hashes: two texts that share t words select the same k-gram inside them.
-    The k-grams met in the index are extended to the windows around them, whose
-    hashes are looked up and whose words are then compared.
+            left, right = 0, k
+            while left < min(at, there) and mine[at - left - 1] == its[there - left - 1]:
+                left += 1
+            while at + right < len(mine) and there + right < len(its) and mine[at + right] == its[there + right]:
+                right += 1
+            if left + right >= size:
+                keep.append(row)
+                spans.append(merge([(p - left, p + right) for p in pos]))
+        kept = batch.take(pa.array(keep, pa.int64()))
+        return {"id": kept.column(0), "digest": kept.column(1), "spans": pa.array(spans, pa.list_(pa.int64())), "context": kept.column(2)}
+
+    columns = ("id", "digest", "context", "size", "ctx", "at", "pos", "item_ctx", "item_at")
+    return map_batches(pairs.select(*columns), make, f"id {kind}, digest binary, spans array<long>, context long")
+
+
+def _join_known(left: DataFrame, right: DataFrame, key: str, salt: Column, small: bool) -> DataFrame:
+    """An equi-join with a table of the benchmark: sent to every task if ``small``, else with salted keys, so that a key that many documents hold is no single task."""
+    if small:
+        return left.join(F.broadcast(right), key)
+    salted = right.withColumn("_skein_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("_skein_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(salted, [key, "_skein_salt"]).drop("_skein_salt")
+
+
+def matched(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """(rows, shared, named, small): every document's words and marks; ``(id, digest, spans, context)`` of what it shares; ``(context, item)``; whether the latter is small.
+
+    Fingerprints of documents and items meet in an equi-join.  The documents'
+    side holds those that the benchmark's bit map lets through.
     """
-    n_words = len(words.hash)
-    text_of = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    for size, marks in index.marks.items():
-        if n_words < size:
-            continue
-        k = index.gram_of(size)
-        span = size - k + 1
-        grams = gram_hashes(words.hash, k)
-        picked = winnow(grams, span)  # across texts too: windows inside a text are among those winnowed
-        hits = picked[_among(grams[picked], marks)]
-        if not len(hits):
-            continue
-        tries = np.unique((hits[:, None] - np.arange(span)[None, :]).ravel())
-        tries = tries[(tries >= 0) & (tries + size <= n_words)]
-        tries = tries[text_of[tries] == text_of[tries + size - 1]]
-        sums = np.zeros(len(tries), np.uint64)
-        for w, p in zip(range(size), _powers(_Q, size), strict=True):
-            sums += words.hash[tries + w] * p
-        lines = index.windows[size]
-        for at in tries[_among(_mix(sums), index.keys[size])].tolist():
-            owners = lines.get(words.line(at, size))
-            if owners:
-                yield int(text_of[at]), at - int(words.first[text_of[at]]), size, owners
-
-
-def _blocks(items: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[object, str]]]:
-    block, held = [], 0
-    for row in items.select(id_col, text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
-        block.append((row[0], row[1]))
-        held += len(row[1])
-        if held >= limit:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
-
-
-def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    known = contexts(items, item_id, item_text).withColumn("context", F.xxhash64("key", "size", "ctx", "at"))
+    known = save(known.dropDuplicates(["item", "context"]), "contexts")
+    small = (known.agg(F.sum(F.octet_length("ctx") + F.octet_length("item") + 32)).first()[0] or 0) <= broadcast_bytes
+    rows = save(fingerprinted(docs, known, id_col, text_col), "marks")
+    theirs = known.select("key", "size", "context", F.col("ctx").alias("item_ctx"), F.col("at").alias("item_at")).dropDuplicates(["context"]).drop("size")
+    mine = rows.where(F.size("marks") > 0).select("id", "digest", F.explode("marks").alias("m")).select("id", "digest", "m.*")
+    pairs = _join_known(mine, theirs, "key", F.xxhash64("digest", "at"), small)
+    shared = save(extended(pairs, dict(rows.dtypes)["id"]), "shared")
+    return rows, shared, known.select("context", "item"), small
+
+
+def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(id, n_words, hits, items)`` for every row of ``docs``.
 
     ``hits``: the hit words as flat [from, to) pairs in order; ``items``: the
-    ids of items with a window in the text, sorted as strings.  The benchmark
-    goes to the tasks in blocks of at most ``block_bytes`` characters (and one
-    item), the documents are read once per block, and nothing of them is
-    shuffled where one block is enough.  Null or empty texts have no words and
-    no hits; repeated rows stay repeated; items without words never match.
+    ids of items with a window in the text, sorted as strings.  Each document
+    is read once; fingerprints, never texts, are shuffled, and only those that
+    the benchmark's bit map lets through.  Null or empty texts have no words and
+    no hits; repeated rows stay repeated; items without words never match, and
+    an empty benchmark hits nothing.
     """
-    spark = docs.sparkSession
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, digest binary, n_words long, hits array<long>, items array<string>"
-
-    def scan(block: list[tuple[object, str]], several: bool) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Index(block))
-
-        def make(batch: pa.RecordBatch) -> dict:
-            index = shared.value
-            words = split_words(*text_bytes(batch.column(1)))
-            spans: dict[int, list[tuple[int, int]]] = {}
-            owners: dict[int, set[int]] = {}
-            for text, at, n, whose in find(words, index):
-                spans.setdefault(text, []).append((at, at + n))
-                owners.setdefault(text, set()).update(whose)
-            rows = range(batch.num_rows)
-            hits = [merge(spans[i]) if i in spans else [] for i in rows]
-            named = [sorted({str(index.ids[k]) for k in owners[i]}) if i in owners else [] for i in rows]
-            digest = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in batch.column(1).to_pylist()] if several else [None] * len(rows)
-            return {"id": batch.column(0), "digest": pa.array(digest, pa.binary()), "n_words": np.diff(words.first), "hits": pa.array(hits, pa.list_(pa.int64())), "items": pa.array(named, pa.list_(pa.string()))}
-
-        return map_batches(docs.select(id_col, text_col), make, schema, text_at=1)
-
-    blocks = _blocks(items, item_id, item_text, block_bytes)
-    first, second = next(blocks, []), next(blocks, None)
-    if second is None:
-        return scan(first, False).drop("digest")
-    return _merge_blocks([scan(first, True), scan(second, True), *(scan(b, True) for b in blocks)], schema)
+    rows, shared, named, small = matched(docs, items, id_col, text_col, item_id, item_text, broadcast_bytes)
+    kind = dict(rows.dtypes)["id"]
+    spans = shared.groupBy("id", "digest").agg(F.flatten(F.collect_set("spans")).alias("hits"))
+
+    def make(batch: pa.RecordBatch) -> dict:
+        flat = [merge(list(zip(x[::2], x[1::2], strict=True))) for x in batch.column(2).to_pylist()]
+        return {"id": batch.column(0), "digest": batch.column(1), "hits": pa.array(flat, pa.list_(pa.int64()))}
+
+    spans = map_batches(spans, make, f"id {kind}, digest binary, hits array<long>")
+    whose = _join_known(shared.select("id", "digest", "context").distinct(), named, "context", F.xxhash64("digest"), small)
+    whose = whose.groupBy("id", "digest").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    d, s, w = rows.select("id", "digest", "n_words").alias("d"), spans.alias("s"), whose.alias("w")
+    same = lambda x: F.col("d.id").eqNullSafe(F.col(f"{x}.id")) & (F.col("d.digest") == F.col(f"{x}.digest"))
+    hits, names = F.coalesce("s.hits", F.array().cast("array<long>")), F.coalesce("w.items", F.array().cast("array<string>"))
+    return d.join(s, same("s"), "left").join(w, same("w"), "left").select("d.id", "d.n_words", hits.alias("hits"), names.alias("items"))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[int]:
@@ -243,22 +299,6 @@ def merge(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _merge_blocks(found: list[DataFrame], schema: str) -> DataFrame:
-    """Hits of several passes together.  Rows of equal id and text have equal hits; each comes once per pass, and leaves once."""
-    passes = len(found)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    grouped = every.groupBy("id", "digest", "n_words").agg(F.collect_set("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count("*").alias("n"))
-
-    def make(batch: pa.RecordBatch) -> dict:
-        flat = [merge([(p[i], p[i + 1]) for p in ps for i in range(0, len(p), 2)]) for ps in batch.column(3).to_pylist()]
-        return {"id": batch.column(0), "digest": batch.column(1), "n_words": batch.column(2), "hits": pa.array(flat, pa.list_(pa.int64())), "items": batch.column(4), "n": batch.column(5)}
-
-    merged = map_batches(grouped, make, schema + ", n long")
-    return merged.withColumn("n", F.explode(F.sequence(F.lit(1), F.expr(f"cast(n div {passes} as int)")))).drop("n", "digest")
-
-
 def hit_words(hits: str = "hits"):
     """Number of words in flat [from, to) pairs."""
     return F.aggregate(F.transform(hits, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda s, x: s + x)
@@ -275,11 +315,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit word; rows with a null id are judged by their text alone, like the rest."""
-    columns = docs.columns
-    keep = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_skein_row"), F.col(text_col).alias("_skein_text"))
-    found = overlaps(keep, items, "_skein_row", "_skein_text")
-    return found.where(F.size("hits") == 0).select("id.*")
+    """The rows of ``docs``, with all their columns, that share no window with an item.
+
+    Rows without an id, repeated rows and empty texts are judged by their text
+    like the rest; an empty benchmark keeps all.  The rows to drop are found as
+    (id, digest of the text), so only those are joined to the documents.
+    """
+    rows, shared, named, _ = matched(docs, items, id_col, text_col, "item_id", "text")
+    bad = save(shared.select(F.col("id").alias("_skein_id"), F.col("digest").alias("_skein_digest")).distinct(), "contaminated")
+    drop(rows, shared)
+    on = docs[id_col].eqNullSafe(bad["_skein_id"]) & (digest(docs[text_col]) == bad["_skein_digest"])
+    return docs.join(bad, on, "left_anti")
 
 
 #: The same rows in DuckDB: every window of every item is looked up among all windows of its length in the documents.

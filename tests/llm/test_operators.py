@@ -97,9 +97,9 @@ def test_simhash_against_all_pairs(docs):
     assert len({w[2] for w in want}) < len(want)
 
 
-@pytest.mark.parametrize(("bucket", "distance"), [(1, 2), (8, 2), (10_000, 2), (10_000, 1), (1, 1)])
-def test_links_join_what_all_pairs_join(spark, bucket, distance):
-    rng = random.Random(bucket)
+@pytest.mark.parametrize("distance", [1, 2, 3, 5])
+def test_links_are_all_pairs(spark, distance):
+    rng = random.Random(distance)
     fps = set()
     for _ in range(12):
         x = rng.getrandbits(64)
@@ -110,27 +110,12 @@ def test_links_join_what_all_pairs_join(spark, bucket, distance):
             fps.add(x)
     signed = lambda v: v - 2**64 if v >> 63 else v
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    edges = [(r.a % 2**64, r.b % 2**64) for r in simhash.links(df, distance, bucket).collect()]
-    assert all(a != b and (a ^ b).bit_count() <= 2 for a, b in edges)
-    root = {f: f for f in fps}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        root[find(a)] = find(b)
-    want = plain_components(fps, distance)
-    group = lambda r: sorted(sorted(g) for g in _groups(r).values())
-    assert group({f: find(f) for f in fps}) == group(want)
-
-
-def _groups(root):
-    out = defaultdict(list)
-    for k, v in root.items():
-        out[v].append(k)
-    return out
+    x = rng.getrandbits(64)
+    fps |= {x ^ sum(1 << b for b in rng.sample(range(40, 52), 3)) for _ in range(150)}  # a dense cluster inside two segments
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    got = [(r.a, r.b) for r in simhash.links(df, distance).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(max(signed(x), signed(y)), min(signed(x), signed(y))) for x in fps for y in fps if x < y and (x ^ y).bit_count() <= distance}
 
 
 def test_simhash_edges(spark, docs):
@@ -186,8 +171,9 @@ def plain_overlap(text, items):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 60])
-def test_winnowing_finds_every_window(spark, block):
+@pytest.mark.parametrize(("broadcast", "bits"), [(1 << 20, winnow.MAP_BITS), (0, winnow.MAP_BITS), (0, 16)])
+def test_winnowing_finds_every_window(spark, monkeypatch, broadcast, bits):
+    monkeypatch.setattr(winnow, "MAP_BITS", bits)
     rng = random.Random(3)
     word = lambda: rng.choice(["a", "b", "Äx", "c3", "dd", "e"])
     items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 2, 4, 7, 9, 10, 11, 30])))) for i in range(25)] + [(90, None), (91, "..."), (92, "the the the the the the the the the the the the")]
@@ -202,7 +188,7 @@ def test_winnowing_finds_every_window(spark, block):
     rows += [(200, None), (201, ""), (None, items[3][1]), (202, "the " * 500)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     its = spark.createDataFrame(items, "item_id long, text string")
-    got = [(r.id, r.n_words, sum(r.hits[1::2]) - sum(r.hits[::2]), sorted(r["items"])) for r in winnow.overlaps(df, its, block_bytes=block).collect()]
+    got = [(r.id, r.n_words, sum(r.hits[1::2]) - sum(r.hits[::2]), sorted(r["items"])) for r in winnow.overlaps(df, its, broadcast_bytes=broadcast).collect()]
     want = [(i, *plain_overlap(t, items)) for i, t in rows]
     assert sorted(got, key=str) == sorted(want, key=str)
     kept = winnow.clean(clashing(df), its)
