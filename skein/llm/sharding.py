@@ -6,43 +6,45 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import table
-from skein.plans.storage import save
+from skein.plans.storage import drop, save
 
 SHARDS = 16
 #: Bits of a key digit (so 2**DIGIT probes for each open splitter and round), digits of the text's and of the row's part.
 DIGIT, TEXT_DIGITS, ROW_DIGITS = 9, 4, 3
-#: Bytes from the wanted boundary, as a share of a shard, at which a splitter is settled.
-TOLERANCE = 0.0005
-#: Bytes that one task sorts; shards are cut into so many parts.
+#: Bytes from the wanted boundary, as a share of a shard, at which a splitter is settled, and up to which it moves to the edge of a group of equal texts.
+TOLERANCE, GROUP_SHIFT = 0.0005, 0.02
+#: Bytes of one part of the final order.
 PART_BYTES = 128 << 20
 _KEY = "_skein_key"
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> Column:
-    """63 bits: a hash of the text, so that equal texts stand together, then one of the id and the row, so that any number of them can be cut."""
+def keyed(id_col: str, text_col: str) -> Column:
+    """63 bits: a hash of the text, so that equal texts stand together, then one of the id, so that a large group of them can be cut."""
     take = lambda h, bits: F.shiftrightunsigned(h, 64 - bits)
-    row = F.xxhash64(F.col(id_col), F.monotonically_increasing_id())
     text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return F.shiftleft(take(text, DIGIT * TEXT_DIGITS), DIGIT * ROW_DIGITS).bitwiseOR(take(row, DIGIT * ROW_DIGITS))
+    return F.shiftleft(take(text, DIGIT * TEXT_DIGITS), DIGIT * ROW_DIGITS).bitwiseOR(take(F.xxhash64(F.col(id_col)), DIGIT * ROW_DIGITS))
 
 
-def splitters(rows: DataFrame, parts: int, tolerance: float, size_col: str, key_col: str = _KEY) -> list[int]:
+def splitters(rows: DataFrame, parts: int, size_col: str, tolerance: float = TOLERANCE, group_shift: float = GROUP_SHIFT, key_col: str = _KEY) -> list[int]:
     """``parts - 1`` keys; part j gets the keys from splitter j-1 up to, but without, splitter j.
 
     Round by round, the bytes below 2**DIGIT evenly spaced probes inside each
     open interval are counted exactly (one aggregate over the rows that lie in
     such an interval).  The probe nearest to the wanted number of bytes is
     taken if it is within the tolerance, else the interval around the wanted
-    boundary is probed in turn.  At most ``parts * 2**DIGIT`` sums reach the driver.
+    boundary is probed in turn.  Where the probes come down to single texts, an
+    edge of the group of equal texts is taken if it is within ``group_shift``
+    of a part; a larger group is cut between its rows.  At most ``parts *
+    2**DIGIT`` sums reach the driver in a round.
     """
     spark, digits = rows.sparkSession, TEXT_DIGITS + ROW_DIGITS
     first = rows.agg(F.sum(size_col)).first()[0] or 0
-    near = first / parts * tolerance
     wanted = [first * j / parts for j in range(1, parts)]
     found: dict[int, int] = {}
     open_ = {0: (0, list(range(len(wanted))))}  # prefix: bytes below it, splitters inside it
     for d in range(digits):
         shift = DIGIT * (digits - d - 1)
+        near = first / parts * (max(tolerance, group_shift) if d == TEXT_DIGITS - 1 else tolerance)
         prefix = F.shiftrightunsigned(key_col, shift + DIGIT).alias("prefix")
         inside = rows.select(prefix, F.shiftrightunsigned(key_col, shift).bitwiseAND(F.lit((1 << DIGIT) - 1)).cast("int").alias("digit"), F.col(size_col).alias("size"))
         if d:
@@ -72,34 +74,42 @@ def splitters(rows: DataFrame, parts: int, tolerance: float, size_col: str, key_
     return [found[j] for j in range(len(wanted))]
 
 
-def sharded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, shards: int = SHARDS, tolerance: float = TOLERANCE, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``df`` with ``shard`` (0 to shards-1, near equal bytes) and ``slot`` (gapless from 0 in each shard).
+def sharded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, shards: int = SHARDS, tolerance: float = TOLERANCE, group_shift: float = GROUP_SHIFT, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``df`` with ``shard`` (0 to shards-1, near equal bytes) and ``slot`` (gapless from 0 in each shard); columns of these names are replaced.
 
-    Rows are in order of a hash of their text, so equal texts share a shard, or
-    neighbouring ones where more bytes than a shard holds are equal; such a
-    group, however large, is cut between its rows.  A null text is empty.  The
-    keys are stored first, so that a task run again sees the same ones.  Bytes
-    are ``size_col`` or the text's UTF-8 bytes plus one.  Each shard is cut
-    into parts by further splitters; one exchange deals the rows to the parts,
-    where they are sorted, and the parts' row counts make the slots.  An empty
-    table gives an empty one.
+    Rows are in order of a hash of their text, then of their id, so equal texts
+    stand together.  A boundary between shards that falls into a group of equal
+    texts moves to the group's nearer edge if that is at most ``group_shift`` of
+    a shard away, so shards are equal to twice that share and groups of up to
+    that size are never cut; a larger group is cut between ids.  Rows equal in
+    id and text stay together and may swap slots.  A null text is empty, null
+    ids are equal.  Bytes are ``size_col`` or the text's UTF-8 bytes plus one.
+    An empty table gives an empty one.
+
+    The splitters are found on narrow rows of key and size.  Then one exchange
+    deals the rows to ranges of keys, where they are sorted; rows are numbered
+    inside each range, and the ranges' counts per shard make the slots.
     """
-    names = df.columns
+    names = [c for c in df.columns if c not in ("shard", "slot")]
+    spark = df.sparkSession
     size = F.col(size_col) if size_col else (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1).cast("long")
-    rows = save(df.withColumns({_KEY: keyed(df, id_col, text_col), "_skein_size": size}), "keyed")
-    total = rows.agg(F.sum("_skein_size")).first()[0] or 0
-    per = max(4, -(-total // (shards * part_bytes)))
-    cuts = splitters(rows, shards * per, tolerance * per, "_skein_size")
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(_KEY)))
-    placed = rows.withColumn("_skein_at", part)
-    counts = placed.groupBy("_skein_at").agg(F.count("*").alias("n"))  # one row for each part
-    shard = F.expr(f"_skein_at div {per}").cast("int")
-    w = Window.partitionBy(shard).orderBy("_skein_at").rowsBetween(Window.unboundedPreceding, -1)
-    starts = save(counts.select("_skein_at", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_skein_start")), "starts")
-    inside = Window.partitionBy("_skein_at").orderBy(_KEY, id_col)
-    numbered = placed.withColumn("_skein_row", F.row_number().over(inside) - 1)
-    out = numbered.join(F.broadcast(starts), "_skein_at")
-    return out.select(*[F.col(f"`{c}`") for c in names], shard.alias("shard"), (F.col("_skein_start") + F.col("_skein_row")).cast("long").alias("slot"))
+    narrow = save(df.select(keyed(id_col, text_col).alias(_KEY), size.alias("_skein_size")), "keys")
+    cuts = splitters(narrow, shards, "_skein_size", tolerance, group_shift)
+    total = narrow.agg(F.sum("_skein_size")).first()[0] or 0
+    drop(narrow)
+    rows = df.select(*[F.col(f"`{c}`") for c in names], keyed(id_col, text_col).alias(_KEY))
+    shard = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(_KEY)))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
+    ranged = rows.repartitionByRange(n, _KEY, id_col).sortWithinPartitions(_KEY, id_col)
+    # the number's lower 33 bits count the rows of a task in their sorted order
+    numbered = ranged.withColumns({"_skein_shard": shard, "_skein_part": F.spark_partition_id(), "_skein_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    numbered = save(numbered.drop(_KEY), "ranged")
+    counts = numbered.groupBy("_skein_part", "_skein_shard").agg(F.count("*").alias("n"), F.min("_skein_at").alias("_skein_low"))
+    w = Window.partitionBy("_skein_shard").orderBy("_skein_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = save(counts.withColumn("_skein_start", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n"), "starts")  # one row for each part, and one more for each shard
+    out = numbered.join(F.broadcast(starts), ["_skein_part", "_skein_shard"])
+    slot = (F.col("_skein_start") + F.col("_skein_at") - F.col("_skein_low")).cast("long")
+    return out.select(*[F.col(f"`{c}`") for c in names], F.col("_skein_shard").alias("shard"), slot.alias("slot"))
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

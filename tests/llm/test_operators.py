@@ -231,15 +231,39 @@ def test_mix(spark, docs):
     by = defaultdict(list)
     for r in rows:
         by[r.source].append(r)
-        assert 0 <= r.taken <= 2 * r.size and (r.position is None) == (r.taken == 0)
+        assert 0 <= r.taken <= 2 * r.size and bool(r.positions) == (r.taken > 0) and list(r.positions) == sorted(r.positions)
     for rs in by.values():
         assert sum(r.size for r in rs) == rs[0].source_size and abs(sum(r.taken for r in rs) - rs[0].target) <= 0.5
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(sized.repartition(7)).collect()))
     assert mixing.mix(empty(spark).withColumn("size", F.lit(1))).count() == 0
     out = mixing.mixed(clashing(docs))
     assert out.columns == clashing(docs).columns
-    words = lambda t: len((t or "").split())
-    assert abs(sum(words(r.text) for r in out.collect()) - sum(r.taken for r in rows)) <= 6 * 3000
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    got, largest = Counter(), Counter()
+    for r in out.collect():
+        got[r.source] += words(r.text)
+    for r in docs.collect():
+        largest[r.source] = max(largest[r.source], words(r.text))
+    assert all(abs(got[s] - rs[0].target) <= largest[s] / 2 + 0.5 for s, rs in by.items())  # whole documents: half of the last one
+    assert mixing.mixed(empty(spark)).count() == 0
+
+
+def test_copies_lie_a_round_apart(spark, docs):
+    rows = [r for r in mixing.mix(docs.withColumn("size", mixing.size_of(F.col("text")))).collect() if r.size]
+    rank = {s: k for k, s in enumerate(sorted({r.source for r in docs.collect()}, key=lambda s: (s is None, s)))}
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    for source, rs in by.items():
+        t = np.linspace(0, 1, 200_001)
+        w = np.interp(t, *zip(*mixing.SCHEDULES[rank[source] % 3], strict=True))
+        area = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2 * np.diff(t))])
+        demand = lambda p, area=area, t=t: np.interp(p, t, area / area[-1])
+        words, before = round(rs[0].target), 0
+        for r in sorted((r for r in rs if r.positions), key=lambda r: r.positions[0]):
+            for k, p in enumerate(r.positions):
+                assert abs(demand(p) * words - (k * r.source_size + before)) < 0.01 + 1e-4 * words
+            before += r.size
 
 
 def test_mixed_places_every_round(spark):
@@ -268,7 +292,8 @@ def test_shards(spark, docs, hot):
     df = docs.select("doc_id", "text")
     if hot:
         df = df.union(spark.range(3000).select((F.col("id") % 7).alias("doc_id"), F.lit("same text").alias("text")))
-    rows = sharding.sharded(clashing(df).drop("shard"), shards=4).collect()
+    rows = sharding.sharded(clashing(df).withColumn("slot", F.lit("own")), shards=4).collect()
+    assert rows[0].__fields__.count("shard") == rows[0].__fields__.count("slot") == 1
     assert len(rows) == df.count()
     size, slots = Counter(), defaultdict(list)
     for r in rows:
@@ -292,6 +317,31 @@ def test_shards_balance(spark):
     assert sharding.sharded(df.limit(0)).count() == 0
 
 
+def test_shards_keep_groups_and_order(spark):
+    """Against a sort by key in Python: slots follow the keys, groups below the shift stay whole, larger ones are cut, and reruns agree."""
+    small = [(g * 10_000 + i, f"text {g}") for g in range(300) for i in range(20)]
+    large = [(9_000_000 + i, "copy of all") for i in range(3000)]
+    df = spark.createDataFrame(small + large, "doc_id long, text string")
+    keys = {(r.doc_id, r.text): r.k for r in df.withColumn("k", sharding.keyed("doc_id", "text")).collect()}
+    out = {(r.doc_id, r.text): (r.shard, r.slot) for r in sharding.sharded(df).collect()}
+    again = {(r.doc_id, r.text): (r.shard, r.slot) for r in sharding.sharded(df.repartition(7)).collect()}
+    assert out == again and sorted(out, key=lambda x: (keys[x], x[0])) == sorted(out, key=out.get)
+    shards, size = defaultdict(set), Counter()
+    for (_, t), (shard, _) in out.items():
+        shards[t].add(shard)
+        size[shard] += len(t) + 1
+    mean = sum(size.values()) / 16
+    cut = [t for t, x in shards.items() if len(x) > 1]
+    bytes_ = Counter(t for _, t in out)
+    assert "copy of all" in cut and all(bytes_[t] * (len(t) + 1) > 0.02 * mean for t in cut)
+    assert max(size.values()) - min(size.values()) <= 0.05 * mean + 40
+    whole = sharding.sharded(df, group_shift=0.5)
+    placed = defaultdict(set)
+    for r in whole.collect():
+        placed[r.text].add(r.shard)
+    assert [t for t, x in placed.items() if len(x) > 1] == ["copy of all"]
+
+
 # --- quality
 
 
