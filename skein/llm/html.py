@@ -31,10 +31,12 @@ CODES = {t: k for k, ts in enumerate(("html body", "div", "section", "article",
 GOOD = frozenset("article articlebody content entry main post story text body prose page".split())
 BAD = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus footer form gdpr header hidden login masthead menu meta modal nav navbar navigation newsletter notice pager pagination popup promo promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar tracking widget".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?", re.S)
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: In a tag, a quote opens a value only right after ``=``, and only if it is closed somewhere; elsewhere it is an ordinary character.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))*+)>?", re.S)
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
-_SPACE = " \t\n\r\f\v"
+#: Elements that stop the search for an open paragraph.
+_BOUNDS = frozenset("table td div article section body li blockquote".split())
 
 
 @dataclass
@@ -55,10 +57,13 @@ def parse(page: str) -> Tree:
     Character references are decoded and white space inside a block becomes one
     space.  Inline elements and ``br`` belong to the block around them.  Broken
     markup is read as far as it goes: unclosed elements end with the page,
-    stray end tags are ignored, a lone ``<`` is text.
+    stray end tags are ignored, a lone ``<`` is text, and a quote in a tag that
+    no other closes hides nothing.  The work is linear in the page, however
+    deep its elements are nested.
     """
     tree = Tree([0], [-1], [0], [0], [0], [])
     stack: list[tuple[str, int]] = [("html", 0)]
+    opened: dict[str, list[int]] = {}  # places of the open elements in the stack, by name
     piece: list[str] = []
     linked, links, hidden = 0, 0, 0
 
@@ -76,8 +81,13 @@ def parse(page: str) -> Tree:
         flush()
         for name, _ in stack[upto:]:
             hidden -= name in HIDDEN
+            opened[name].pop()
         del stack[upto:]
 
+    def last(names) -> int:
+        """Place of the innermost open element of these names, 0 without one."""
+        return max((opened[x][-1] for x in names if opened.get(x)), default=0)
+
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
@@ -102,14 +112,12 @@ def parse(page: str) -> Tree:
                 links = 0 if m[1] else 1
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    links = 0
-                    break
-            else:
-                if name in CLOSES_P:
-                    flush()
+            k = last((name,))
+            if k:
+                close(k)
+                links = 0
+            elif name in CLOSES_P:
+                flush()
             continue
         if name in RAW:
             if not m[0].endswith("/>"):
@@ -127,18 +135,13 @@ def parse(page: str) -> Tree:
                 close(1)
             continue
         if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in ("table", "td", "div", "article", "section", "body", "li", "blockquote"):
-                    break
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in LISTS.get(name, ()):
-                break
-            if stack[k][0] in SAME.get(name, ()):
+            k = last(("p",))
+            if k > last(_BOUNDS):
+                close(k)
+        if name in SAME:
+            k = last(SAME[name])
+            if k > last(LISTS.get(name, ())):
                 close(k)
-                break
         flush()
         good = bad = 0
         for a in _ATTRIBUTE.finditer(m[3]):
@@ -151,6 +154,7 @@ def parse(page: str) -> Tree:
         tree.good.append(good)
         tree.bad.append(bad)
         if not m[0].endswith("/>"):
+            opened.setdefault(name, []).append(len(stack))
             stack.append((name, len(tree.tag) - 1))
             hidden += name in HIDDEN
     close(1)
@@ -158,6 +162,12 @@ def parse(page: str) -> Tree:
     return tree
 
 
+def levels_of(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of every depth, by one sort."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max()) + 1)))
+
+
 def features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(features, parent, depth, own characters, piece's node, piece's page) over the nodes of all pages, numbered through."""
     base = np.cumsum([0, *(len(t.tag) for t in trees)])
@@ -172,7 +182,7 @@ def features(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     link = np.array([x for t in trees for _, _, x in t.text], dtype=np.float64)
     stops = np.array([sum(map(x.count, ".,;:!?")) for t in trees for _, x, _ in t.text], dtype=np.float64)
     own, own_link, own_stop = (np.bincount(of, v, n) if len(of) else np.zeros(n) for v in (size, link, stops))
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
+    levels = levels_of(depth)
     sub, sub_link, sub_stop, sub_nodes = own.copy(), own_link.copy(), own_stop.copy(), np.ones(n)
     for at in reversed(levels[1:]):
         for v in (sub, sub_link, sub_stop, sub_nodes):
@@ -277,7 +287,7 @@ def decode(log_odds: np.ndarray, parent: np.ndarray, depth: np.ndarray, own: np.
     gain = log_odds * np.log1p(own)
     keep, drop = gain.copy(), -gain
     keep[dead] = -1e9
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
+    levels = levels_of(depth)
     for at in reversed(levels[1:]):
         np.add.at(keep, parent[at], np.maximum(keep[at], drop[at]))
         np.add.at(drop, parent[at], drop[at])
@@ -412,7 +422,7 @@ def train(pages: int = TRAIN_PAGES, seed: int = SEED) -> Boosted:
     good = np.array([line in main[k] for line, k in zip(lines, page, strict=True)], float)
     size = np.array([len(line) for line in lines], float)
     up, all_ = np.bincount(of, good * size, len(parent)), np.bincount(of, size, len(parent))
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
+    levels = levels_of(depth)
     for at in reversed(levels[1:]):
         np.add.at(up, parent[at], up[at])
         np.add.at(all_, parent[at], all_[at])
@@ -424,7 +434,7 @@ def train(pages: int = TRAIN_PAGES, seed: int = SEED) -> Boosted:
 
 
 def main_text(pages: DataFrame, html_col: str = "html", out_col: str = "text", model: Boosted | None = None) -> DataFrame:
-    """``pages`` without ``html_col`` and with ``out_col``, the main text (empty if there is none; null html is an empty page).
+    """``pages`` without ``html_col`` and with ``out_col``, the main text (empty if there is none; null html is an empty page; a column ``out_col`` is replaced).
 
     Every row is worked on by itself, so nothing is shuffled and repeated rows stay repeated.
     """

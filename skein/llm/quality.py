@@ -15,6 +15,8 @@ MIN_GROUP = 200
 #: Fence: so many spreads (upper minus lower quartile) beyond the quartile.
 SPREADS = 3
 SYMBOLS = "#*$%&|<>"
+#: Columns that this operator makes.
+OWN_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", *METRICS, "base_failed", "kept")
 
 
 def _covered(words: Column) -> Column:
@@ -37,13 +39,16 @@ def _covered(words: Column) -> Column:
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines`` (long); null: an empty text."""
+    """``docs`` without its text, with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines`` (long); null: an empty text.
+
+    Columns of these names, and of those that :func:`judged` adds, are replaced.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, " \t\x0b\f\r", "") != "")
     both = let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
     counts = let(words_of(F.col(text_col)), lambda w: F.struct(F.size(w).alias("n"), _covered(w).alias("r")))
     out = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != text_col],
+        *[F.col(f"`{c}`") for c in docs.columns if c != text_col and c not in OWN_COLUMNS],
         counts.alias("_skein_w"),
         F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -105,6 +110,7 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     other.  Groups of fewer than ``min_group`` rows are judged by their
     language's sketch, or by everyone's where that is small as well.  Repeated
     rows stay repeated and count as often; an empty table gives an empty one.
+    Columns of the result's names are replaced, others kept.
     The texts are read once, into a narrow table; only counts are shuffled.
     """
     rows = save(measures(docs, text_col).withColumns(per_mille()), "measures")
@@ -114,16 +120,16 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     o, g, a = own.alias("o"), lang.alias("g"), all_.alias("a")
     pick = lambda c: F.when(F.col("o.rows") >= min_group, F.col(f"o.{c}")).when(F.col("g.rows") >= min_group, F.col(f"g.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
     # one row for everyone stands on the right of the last join
-    limits = o.join(g, F.col(f"o.{lang_col}").eqNullSafe(F.col(f"g.{lang_col}"))).join(a, F.lit(True)).select(F.col(f"o.{lang_col}").alias("_skein_lang"), F.col(f"o.{source_col}").alias("_skein_source"), *[pick(c) for c in names])
+    limits = o.join(g, F.col(f"o.{lang_col}").eqNullSafe(F.col(f"g.{lang_col}"))).join(a, F.lit(True)).select(F.col(f"o.{lang_col}").alias("_skein_lang"), F.col(f"o.{source_col}").alias("_skein_source"), *[pick(c).alias(f"_skein_{c}") for c in names])
     limits = save(limits, "limits")
     out = rows.join(limits, rows[lang_col].eqNullSafe(limits["_skein_lang"]) & rows[source_col].eqNullSafe(limits["_skein_source"]), "left")
     inside = F.lit(True)
     for m, (_, two_sided) in METRICS.items():
-        inside = inside & (F.col(m) <= F.col(f"high_{m}"))
+        inside = inside & (F.col(m) <= F.col(f"_skein_high_{m}"))
         if two_sided:
-            inside = inside & (F.col(m) >= F.col(f"low_{m}"))
+            inside = inside & (F.col(m) >= F.col(f"_skein_low_{m}"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumns({"base_failed": failed, "kept": ~failed & F.coalesce(inside, F.lit(True))}).drop("_skein_lang", "_skein_source", *names)
+    return out.withColumns({"base_failed": failed, "kept": ~failed & F.coalesce(inside, F.lit(True))}).drop("_skein_lang", "_skein_source", *[f"_skein_{c}" for c in names])
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,11 @@ def grams(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text) - ORDER), lambda i: F.substring(text, i, F.lit(ORDER + 1)))
 
 
+def calibrates(host: Column) -> Column:
+    """Whether a host's URLs set the threshold; those of the others, two thirds, train the models."""
+    return F.crc32(host.cast("binary")) % 3 == 1
+
+
 def _log_ratio(seen: DataFrame, counts: DataFrame, share: float) -> DataFrame:
     """``(gram, ratio)`` for each gram of ``seen``: log P(char | context) among accepted less that among rejected, in millionths.
 
@@ -79,25 +84,28 @@ def verdicts(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str,
     """``pages`` with ``host, path, rule, verdict, score`` (columns of these names are replaced).
 
     The models are counted over the distinct (host, path) that a rule accepts
-    or rejects.  ``score`` is the log-likelihood difference per character in
-    millionths, null where a rule decides; the threshold is the one that best
-    separates the ruled URLs (mean of both hit rates; the lowest such, halfway
-    to the next value).  If no rule accepts, or none rejects, any URL, the
-    models say nothing and the rest is allowed.  Null and malformed URLs have
+    or rejects, of two thirds of the hosts.  ``score`` is the log-likelihood
+    difference per character in millionths, null where a rule decides; the
+    threshold is the one that best separates the ruled URLs of the other hosts
+    (mean of both hit rates; the lowest such, halfway to the next value), or 0
+    where those lack a class.  If the models have no accepted, or no rejected,
+    URL, they say nothing and the rest is allowed.  Null and malformed URLs have
     empty host and path and are judged by the models.  Work is on distinct
     URLs; a URL repeated by a third of the rows is counted once.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.drop("host", "path", "rule", "verdict", "score").withColumns({"host": host, "path": path})
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    names = save(rows.select("host", "path").distinct().withColumns({"rule": rule, "known": verdict}), "urls")
+    spread = 2 * pages.sparkSession.sparkContext.defaultParallelism  # a URL makes many grams, so its rows are worth dealing out
+    names = save(rows.select("host", "path").distinct().withColumns({"rule": rule, "known": verdict}).repartition(spread), "urls")
     pieces = names.select("host", "path", "known", F.explode(grams(folded(F.col("host"), F.col("path")))).alias("gram"))
-    counts = save(pieces.groupBy("gram").agg(*[F.count(F.when(F.col("known") == c, 1)).alias(c) for c in ("allow", "block")]), "counts")
+    counts = save(pieces.groupBy("gram").agg(*[F.count(F.when((F.col("known") == c) & ~calibrates(F.col("host")), 1)).alias(c) for c in ("allow", "block")]), "counts")
     ratio = save(_log_ratio(counts, counts.where("allow + block > 0"), share), "ratio")
     lookup = F.broadcast(ratio) if ratio.count() <= BROADCAST_ROWS else ratio
     sums = pieces.join(lookup, "gram").groupBy("host", "path", "known").agg(F.sum("ratio").alias("s"), F.count("*").alias("n"))
     scored = save(sums.select("host", "path", "known", F.expr("s div n").alias("score")), "scored")
-    cut = _threshold(scored.where("known is not null"))
+    both = names.where(~calibrates(F.col("host"))).agg(F.countDistinct("known")).first()[0] == 2
+    cut = _threshold(scored.where(F.col("known").isNotNull() & calibrates(F.col("host")))) if both else None
     last = scored.join(names.select("host", "path", "rule"), ["host", "path"]).select(
         F.col("host").alias("_skein_host"), F.col("path").alias("_skein_path"), "rule",
         F.coalesce("known", F.when(F.lit(True) if cut is None else F.col("score") >= cut, "allow").otherwise("block")).alias("verdict"),
@@ -107,13 +115,13 @@ def verdicts(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str,
     return rows.join(last, (rows["host"] == last["_skein_host"]) & (rows["path"] == last["_skein_path"])).drop("_skein_host", "_skein_path")
 
 
-def _threshold(labelled: DataFrame, step: int = 5_000, most: int = 5_000_000) -> int | None:
-    """From a histogram of at most ``2 * most / step + 1`` bins for each class."""
+def _threshold(labelled: DataFrame, step: int = 5_000, most: int = 5_000_000) -> int:
+    """From a histogram of at most ``2 * most / step + 1`` bins for each class; 0 where one has no URL."""
     bins = labelled.groupBy(F.expr(f"greatest(-{most}, least({most}, score)) div {step}").alias("bin"), "known").count().collect()
     have = {c: {r["bin"]: r["count"] for r in bins if r["known"] == c} for c in ("allow", "block")}
     total = {c: sum(h.values()) for c, h in have.items()}
     if not all(total.values()):
-        return None
+        return 0
     at = sorted({*have["allow"], *have["block"]})
     best, cut, below = -1.0, 0, {"allow": 0, "block": 0}
     for k, b in enumerate([*at, at[-1] + 1]):

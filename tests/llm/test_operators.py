@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -366,7 +368,8 @@ def test_quality_thresholds(spark):
     rng = random.Random(5)
     good = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]) + str(rng.randint(0, 999)) for _ in range(80)), "en", rng.choice("ab"), 1) for i in range(600)]
     bad = [(1000 + i, " ".join(w + "###" for w in good[i][1].split()), "en", "a", 1) for i in range(20)]
-    out = {r.doc_id: r for r in quality.judged(clashing(spark.createDataFrame(good + bad, DOCS).drop("n_chars")).drop("h")).collect()}
+    extra = clashing(spark.createDataFrame(good + bad, DOCS)).withColumns({c: F.lit("own") for c in ("word_chars", "n_symbols", "low_symbols_pm", "rows", "kept", "bucket")})
+    out = {r.doc_id: r for r in quality.judged(extra).collect()}
     assert all(out[r[0]].kept for r in good) and not any(out[r[0]].kept for r in bad)
     assert quality.judged(empty(spark)).count() == 0
 
@@ -398,7 +401,7 @@ def plain_ratio(named, gram, share=urls.SHARE):
     for c in ("allow", "block"):
         counts = Counter()
         for h, q, v in named:
-            if v == c:
+            if v == c and zlib.crc32(h.encode()) % 3 != 1:
                 t = "^^^^" + re.sub(r"[^a-z0./_-]", "*", re.sub("[0-9]", "0", (h + q).translate({i: i + 32 for i in range(65, 91)}))) + "$"
                 counts.update(t[i : i + 5] for i in range(len(t) - 4))
         total, prob = sum(counts.values()), 1 / urls.ALPHABET
@@ -418,7 +421,7 @@ def test_urls(spark):
     odd = [None, "", "no scheme", "http://", "http://A.NET", "http://a.net/", "http://net/x", "http://x.example.NET/en/1?q#f", "http://example.net/en", "https://b.org/fr/2", "x://example.com/de/3?a://b", "http://notexample.com/de/", "http://é.com/ü?x", "http://a.com#://b"]
     made = [f"http://{rng.choice(['good', 'fine', 'spam', 'pill'])}{rng.randint(1, 5)}.{rng.choice(['example.net', 'example.com', 'example.org', 'other.net', 'b.com'])}/{rng.choice(['en', 'de', 'fr', 'es'])}/{rng.randint(1, 99)}" for _ in range(150)]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(odd + made + made[:30])] + [(None, "http://a.b/c")], "page_id long, url string")
-    got = urls.verdicts(clashing(pages).drop("host")).collect()
+    got = urls.verdicts(clashing(pages)).collect()
     assert len(got) == pages.count()
     named = {plain_rule(r.url) for r in got}
     table = [(h, p, v) for h, p, _, v in named]
@@ -436,6 +439,15 @@ def test_urls(spark):
     free = [r for r in got if r.rule is None]
     assert {r.verdict for r in free} <= {"allow", "block"}
     assert max([r.score for r in free if r.verdict == "block"], default=-1e9) < min([r.score for r in free if r.verdict == "allow"], default=1e9)
+    # the threshold, by trying every cut between the scores of ruled URLs on the calibrating hosts
+    known = [(score[h, p][0] / score[h, p][1], v) for h, p, _, v in named if v and zlib.crc32(h.encode()) % 3 == 1]
+    n = Counter(v for _, v in known)
+    assert n["allow"] and n["block"]
+    rate = lambda cut: sum(s >= cut for s, v in known if v == "allow") / n["allow"] + sum(s < cut for s, v in known if v == "block") / n["block"]
+    best = max(rate(s) for s, _ in known)
+    cuts = [r.score for r in free if r.verdict == "allow"]
+    low, high = max([r.score for r in free if r.verdict == "block"], default=-6e6), min(cuts, default=6e6)
+    assert any(rate(x) >= best - 0.02 for x in [low + 1, high, *(s for s, _ in known if low < s <= high)])
     assert urls.verdicts(pages.limit(0)).count() == 0
     assert {r.verdict for r in urls.verdicts(spark.createDataFrame([(1, "http://q.com/")], "page_id long, url string")).collect()} == {"allow"}
 
@@ -445,7 +457,7 @@ def test_rare_contexts_count_in_a_large_class(spark):
     made += [f"http://b{u[8:11]}.net/commonpathofmanypages/x" for u in made] + ["http://zqzq.org/fr/zqzq", "http://zqzq.de/zqzq"]
     got = urls.verdicts(spark.createDataFrame(list(enumerate(made)), "page_id long, url string")).collect()
     named = {plain_rule(u)[:2] + plain_rule(u)[3:] for u in made}
-    assert sum(len(h + p) + 1 for h, p, v in named if v == "allow") > 60_000  # a context seen once or twice is below 1/20000
+    assert sum(len(h + p) + 1 for h, p, v in named if v == "allow" and zlib.crc32(h.encode()) % 3 != 1) > 40_000  # a context seen once or twice is below 1/20000
     h, p = "zqzq.de", "/zqzq"
     t = "^^^^" + h + p + "$"
     want = sum(plain_ratio(named, t[i : i + 5], 0) for i in range(len(t) - 4)) / (len(t) - 4)
@@ -491,6 +503,35 @@ def test_added_spans(spark):
     assert pii.spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_secrets_and_account_numbers(spark):
+    rng = random.Random(3)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+    def account():
+        b = pick(digits, 18)
+        return f"DE{98 - int(b + '131400') % 97:02d}{b}"
+
+    made = {
+        "secret": lambda: rng.choice(['token = "%s"', "password: %s", "api_key=%s"]) % rng.choice([pick("abcdef" + digits, 40), "Aa0" + pick(low + low.upper() + digits, 30)]),
+        "iban": account, "ssn": lambda: f"social security {rng.randint(100, 599)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+        None: lambda: rng.choice(["commit " + pick("abcdef" + digits, 40), "see-a-long-slug-about-elections-of-2024-here", "plain words", f"DE00{pick(digits, 18)}"]),
+    }
+    rows, want = [], {}
+    for i in range(240):
+        want[i] = list(made)[i % 4]
+        rows.append((i, f"Some text before, then {made[want[i]]()} and more text after."))
+    got = {r.id: {pii.KINDS[x.k] for x in r.added} for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in made:
+        right = [got[i] == ({kind} if kind else set()) for i in want if want[i] == kind]
+        assert sum(right) >= 0.95 * len(right), kind
+    ibans = [account() for _ in range(30)] + [f"GB{n:02d}WEST12345698765432" for n in range(98)]
+    df = spark.createDataFrame([(x,) for x in ibans], "x string").withColumn("ok", pii.iban(F.col("x")))
+    for r in df.collect():
+        turned = "".join(str(int(c, 36)) for c in r.x[4:] + r.x[:4])
+        assert r.ok == (int(turned) % 97 == 1)
+
+
 def test_reliabilities_prefer_agreement():
     post, labelers = pii.reliabilities({(0, 2 * 81 + 2 * 27 + 2): 50, (0, 81 + 27 + 3): 50})
     assert post[2 * 81 + 2 * 27 + 2] > 0.9 > 0.1 > post[81 + 27 + 3]
@@ -512,6 +553,103 @@ def test_main_text():
     assert html.extract(model, [page]) == ["A & B\nFirst bold text, long enough to read; it says things.\nSecond one, with <tags> and so on, and a bit more."]
 
 
+class PlainPage(HTMLParser):
+    """Blocks of text by the standard library's parser, for pages with all end tags."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.piece, self.quiet = [], [], 0
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        line = " ".join("".join(self.piece).split())
+        if line:
+            self.blocks.append(line)
+        self.piece = []
+
+    def handle_starttag(self, tag, attrs):
+        self.quiet += tag in ("script", "style", "title")
+        if tag not in html.INLINE:
+            self.flush()
+        elif tag == "br":
+            self.piece.append(" ")
+
+    def handle_endtag(self, tag):
+        self.quiet -= tag in ("script", "style", "title")
+        if tag not in html.INLINE:
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.quiet:
+            self.piece.append(data)
+
+
+def test_blocks_against_another_parser():
+    rng = random.Random(12)
+    attributes = ["", ' class="a b"', " id='x>y'", ' title="it\'s <b>"', " data-x=it's", ' q=a"b', " lone\"", ' a = "1" b', ' href=/x?a=1&b="2"', " checked", ' x=""']
+    texts = ["one", "two &amp; three", "&lt;b&gt;", "a\n  b", "caf&eacute; &#233;", "1 < 2", "x & y", "&nbsp;z"]
+
+    def node(depth):
+        if depth > 4 or rng.random() < 0.3:
+            return rng.choice(texts)
+        tag = rng.choice(["div", "section", "b", "span", "blockquote", "h2", "article", "em", "code", "main"])
+        return f"<{tag}{rng.choice(attributes)}>" + "".join(node(depth + 1) for _ in range(rng.randint(0, 4))) + rng.choice(["", "<br>", "<br/>", "<!-- c > -->"]) + f"</{tag}>"
+
+    for _ in range(400):
+        page = "<html><head><title>t</title><script>if (a < b) '</p>'</script></head><body>" + "".join(node(0) for _ in range(4)) + "</body></html>"
+        assert [t for _, t, _ in html.parse(page).text] == PlainPage(page).blocks, page
+
+
+def test_stray_quotes_hide_nothing():
+    texts = lambda page: [t for _, t, _ in html.parse(page).text]
+    assert texts("<article><p>one</p><p title=it's>two</p><p>three</p></article>") == ["one", "two", "three"]
+    assert texts('<p class="open>one</p><p>two</p>') == ["one", "two"]
+    assert texts("<p a='>one</p><p b=\">two</p><p c>three") == ["one", "two", "three"]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "text", "<x>" * 50_000 + "<ul><li>y</ul>" * 30_000 + "</z>" * 30_000, "<p><x>" * 50_000 + "t", "<a b=" * 50_000, "<" * 100_000, "<p a='" * 30_000])
+def test_parsing_is_linear(page):
+    began = time.perf_counter()
+    html.parse(page)
+    assert time.perf_counter() - began < 20
+
+
+def test_deep_page_is_extracted():
+    assert html.extract(html.train(60), ["<div>" * 30_000 + "Some words, at the very bottom of it all."])[0] in ("", "Some words, at the very bottom of it all.")
+
+
+HAND = [
+    (
+        """<!doctype html><html lang=en><head><title>Tides</title><style>p{}</style></head><body><header><a href="/">The Daily Shore</a><nav><a href="/news">News</a> <a href="/sport">Sport</a></nav></header>
+<div class="cookie-banner"><p>We use cookies to improve your visit. By staying you accept them.</p><button>Accept</button></div>
+<main><article><h1>Why the tide is late this spring</h1><div class="byline">By A. Fischer, 3 April</div>
+<p>The harbour master noticed it first: high water came eleven minutes after the printed tables said it would.</p>
+<p>Two causes are likely, and both of them are <em>old news</em> to sailors &mdash; a long swell and a steady wind from the east.</p>
+<div class="ad"><p>Boots for every weather. Now at half price!</p></div><h2>What the gauges say</h2><p>Three gauges along the coast agree within a minute.</p>
+<ul><li>North gauge: eleven minutes late.</li><li>South gauge: ten minutes late.</li></ul></article></main>
+<aside class="sidebar"><h3>Most read</h3><ol><li><a href="/a">Ferry strike ends</a></li></ol></aside>
+<section id="comments"><h2>2 comments</h2><div class="comment"><p>Anna</p><p>My boat was stuck for an hour. Not amused.</p></div></section>
+<footer>&copy; 2024 The Daily Shore. All rights reserved. <a href="/imprint">Imprint</a></footer></body></html>""",
+        ["Why the tide is late this spring", "The harbour master noticed it first: high water came eleven minutes after the printed tables said it would.", "Two causes are likely, and both of them are old news to sailors — a long swell and a steady wind from the east.", "What the gauges say", "Three gauges along the coast agree within a minute.", "North gauge: eleven minutes late.", "South gauge: ten minutes late."],
+    ),
+    (
+        """<html><body><div id="top-menu"><ul><li><a href="#">Start</a><li><a href="#">Recipes</a><li><a href="#">About</a></ul></div>
+<div class="content post"><h1>Flat bread</h1><p>Mix flour, water and salt. Knead the dough for ten minutes and let it rest under a cloth.</p><p>Roll it thin, then bake it in a dry pan, one minute for each side; it should blister.</p><table><tr><td>Flour</td><td>300 g</td></tr></table></div>
+<div class="share-links"><a href="#">Share</a> <a href="#">Tweet</a></div><form action="/subscribe" class="newsletter"><p>Get a recipe every week.</p><input name=mail><button>Sign up</button></form>
+<div id="footer"><p>Contact | Privacy | Terms</p></div></body></html>""",
+        ["Flat bread", "Mix flour, water and salt. Knead the dough for ten minutes and let it rest under a cloth.", "Roll it thin, then bake it in a dry pan, one minute for each side; it should blister.", "Flour", "300 g"],
+    ),
+]
+
+
+def test_pages_by_hand():
+    model = html.train()
+    for page, want in HAND:
+        assert html.extract(model, [page])[0].split("\n") == want
+
+
 def test_decoding_has_no_contradiction():
     rng = np.random.default_rng(1)
     parent = np.array([-1, *(rng.integers(0, i) for i in range(1, 60))])
@@ -592,6 +730,19 @@ def test_gradients():
         assert abs((side[0] - side[1]) / 2e-5 - np.asarray(g)[at]) < 1e-6
 
 
+def test_logits_equal_the_plain_pass():
+    """The batched, masked scoring against the training pass, one window at a time, whose loss gives the logit."""
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(np.zeros(1), np.zeros(1), toxicity._fresh(3))
+    x = rng.normal(size=(400, model.params["Wxf"].shape[0])).astype(np.float32)
+    x[-1] = 0
+    start, size = rng.integers(0, 360, 90), rng.integers(0, 33, 90)
+    got = model.logits(x, start, size, block=16)
+    for s, n, z in zip(start, size, got, strict=True):
+        loss, _, _ = toxicity._step(model.params, x[None, s : s + max(1, n)], np.array([n]), np.zeros(1), np.ones(1))
+        assert abs(math.log(math.expm1(loss)) - z) < 1e-3
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 31, 32, 33, 56, 57, 500):
         text, start, size = toxicity.windows_of(np.array([0, n, n]))
