@@ -16,13 +16,13 @@ from skein.plans.storage import drop, save
 
 #: Bits of a fingerprint, words of a shingle, seed of XXH64.
 BITS, SHINGLE, SEED = 64, 3, 42
-#: Members of a MinHash bucket whose pairs are compared directly; larger buckets link their members to the smallest first.
-PAIR_BUCKET = 48
 _CHUNK = 1 << 15
 #: The stage that keeps one of similar documents: words of a shingle, least Jaccard similarity of two sets of shingles (numerator, denominator).
 STAGE_SHINGLE, ALIKE = 5, (4, 5)
 #: Bands of a MinHash signature and values in a band: sets of similarity 0.8 share no band with probability (1 - 0.8**4)**32 < 5e-8.
 BANDS, ROWS = 32, 4
+#: Bits of the parity map of a set, and longs that hold it.
+MAP_BITS, MAP_LONGS = 2048, 32
 _TURNS = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -160,7 +160,13 @@ def shingle_set(text: bytes, shingle: int = STAGE_SHINGLE) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, key, n, bands, hashes)`` for every row: its set of shingles, their number, a hash of the set, and the set's MinHash bands (empty set: none)."""
+    """``(id, key, n, bands, map, hashes)`` for every row.
+
+    ``hashes`` is its set of shingles, ``n`` their number, ``key`` a hash of the
+    set, ``bands`` a hash of each MinHash band (empty set: none), and ``map``
+    says for each of ``MAP_BITS`` values of a shingle's first bits whether an
+    odd number of shingles has it.
+    """
 
     def make(batch: pa.RecordBatch) -> dict:
         texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
@@ -168,15 +174,32 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         n = np.array([len(x) for x in sets], np.int64)
         flat, full = np.concatenate(sets), n > 0
         starts = (np.cumsum(n) - n)[full]
-        bands = np.zeros((len(starts), BANDS), np.uint64)
+        bands = np.zeros((len(starts), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
         for k, turn in enumerate(_TURNS if len(starts) else ()):
             bands[:, k // ROWS] = bands[:, k // ROWS] * _MIX + np.minimum.reduceat(flat * turn, starts)
+        cell = np.repeat(np.arange(len(sets)), n) * MAP_BITS + (flat >> np.uint64(64 - MAP_BITS.bit_length() + 1)).astype(np.int64)
+        odd = np.packbits((np.bincount(cell, minlength=len(sets) * MAP_BITS) & 1).astype(np.uint8)).view(np.uint64)
         lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
         keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
-        return {"id": batch.column(0), "key": keys.view(np.int64), "n": n, "bands": lists(full * BANDS, bands.reshape(-1)), "hashes": lists(n, flat)}
+        return {"id": batch.column(0), "key": keys.view(np.int64), "n": n, "bands": lists(full * BANDS, bands.reshape(-1)), "map": lists(full * 0 + MAP_LONGS, odd), "hashes": lists(n, flat)}
 
     kind = dict(docs.dtypes)[id_col]
-    return map_batches(docs.select(id_col, text_col), make, f"id {kind}, key long, n long, bands array<long>, hashes array<long>", text_at=1)
+    return map_batches(docs.select(id_col, text_col), make, f"id {kind}, key long, n long, bands array<long>, map array<long>, hashes array<long>", text_at=1)
+
+
+def _may_be_alike(x: str, y: str) -> Column:
+    """A test that no pair of similar sets fails, from ``n`` and ``map`` of both.
+
+    Two sets of similarity s or more differ in at most (1 - s) / (1 + s) of
+    their sizes' sum, and every bit in which their maps differ needs a shingle
+    in which the sets do; so the maps' Hamming distance is bounded.
+    """
+    up, down = ALIKE
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = F.lit(0)
+    for k in range(MAP_LONGS):
+        differ = differ + F.bit_count(F.get(f"{x}.map", F.lit(k)).bitwiseXOR(F.get(f"{y}.map", F.lit(k))))
+    return (F.least(n, m) * down >= F.greatest(n, m) * up) & (differ * (down + up) <= (n + m) * (down - up))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -191,42 +214,46 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair_bucket: int = PAIR_BUCKET) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, component)`` for every row of ``docs``: components of the texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Equal sets are one vertex.  Candidates share a MinHash band; each is then
-    compared by its whole set.  A bucket with more than ``pair_bucket`` members
-    links them to its smallest first, and then compares only members that are
-    still in different components, which gives the same components.  Names and
-    null ids are as in :func:`near_duplicates`.
+    Equal sets are one vertex.  Candidates share a MinHash band.  First, every
+    member of a bucket meets the bucket's smallest and largest key; then only
+    members that are still in different components meet, in buckets of more than
+    three.  Pairs are pruned, inside that join, by the Hamming distance of their
+    parity maps, which loses no similar pair, and what is left is compared by
+    the whole sets.  So the rows that the joins make stay in proportion to the
+    members, also where thousands of texts are alike.  Names and null ids are as
+    in :func:`near_duplicates`.
     """
     prints = save(signatures(docs, id_col, text_col), "signatures")
-    groups = save(prints.groupBy("key").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "groups")
-    rows = groups.select("key", "n", F.posexplode("bands").alias("i", "band"))
-    buckets = rows.groupBy("i", "band").agg(F.count("*").alias("members"), F.min(F.struct("key", "n")).alias("least")).where("members > 1")
-    dealt = save(rows.join(buckets, ["i", "band"]), "buckets")
-    sizes = lambda n, m: F.least(n, m) * ALIKE[1] >= F.greatest(n, m) * ALIKE[0]
-
-    def pairs(of: DataFrame, differ) -> DataFrame:
-        x, y = of.alias("x"), of.alias("y")
-        on = (F.col("x.i") == F.col("y.i")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key"))
-        return x.join(y, on & differ & sizes(F.col("x.n"), F.col("y.n"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-
-    sets = prints.select("key", "hashes")
-    many = dealt.where(F.col("members") > pair_bucket)
-    star = many.where((F.col("key") != F.col("least.key")) & sizes(F.col("n"), F.col("least.n"))).select(F.col("least.key").alias("a"), F.col("key").alias("b"))
-    near = pairs(dealt.where(F.col("members") <= pair_bucket).select("i", "band", "key", "n"), F.lit(True))
-    edges = _alike(save(near.unionByName(star).distinct(), "pairs"), sets)
+    groups = save(prints.groupBy("key").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("n", "bands", "map")]), "groups")
+    rows = groups.select("key", F.explode("bands").alias("band"))
+    buckets = rows.groupBy("band").agg(F.count("*").alias("members"), F.min("key").alias("least"), F.max("key").alias("most")).where("members > 1")
+    dealt = save(rows.join(buckets, "band"), "buckets")
+    what, sets = groups.select("key", "n", "map"), prints.select("key", "hashes")
+
+    stars = dealt.select(F.explode(F.array("least", "most")).alias("a"), F.col("key").alias("b")).where("a <> b")
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = what.alias("x"), what.alias("y")
+    stars = stars.join(x, F.col("a") == F.col("x.key")).join(y, (F.col("b") == F.col("y.key")) & _may_be_alike("x", "y")).select("a", "b")
+    edges = _alike(save(stars, "stars"), sets)
     comp = connected_components(edges)
-    placed = many.join(comp.withColumnRenamed("id", "key"), "key", "left").select("i", "band", "key", "n", F.coalesce("component", "key").alias("c"))
-    rest = save(pairs(placed, F.col("x.c") != F.col("y.c")).distinct(), "pairs")
+
+    placed = dealt.where("members > 3").select("band", "key").join(comp.withColumnRenamed("id", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
+    placed = save(placed, "placed")
+    open_ = placed.groupBy("band").agg((F.min("c") < F.max("c")).alias("open")).where("open").drop("open")
+    left = save(placed.join(open_, "band", "left_semi").join(what, "key"), "open")
+    x, y = left.alias("x"), left.alias("y")
+    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & _may_be_alike("x", "y")
+    rest = save(x.join(y, on).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "rest")
     if not rest.isEmpty():
         comp = connected_components(edges.unionByName(_alike(rest, sets)))
     known = save(groups.join(comp.withColumnRenamed("id", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("root")), "roots")
     least = known.groupBy("root").agg(F.min("first").alias("component"))
     names = save(known.join(least, "root").select("key", "component"), "names")
     out = save(prints.select("id", "key").join(names, "key").select("id", "component"), "components")
-    drop(prints, groups, dealt, edges, comp, rest, known, names)
+    drop(prints, groups, dealt, edges, placed, left, comp, rest, known, names)
     return out
 
 

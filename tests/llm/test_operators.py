@@ -128,8 +128,7 @@ def test_simhash_edges(spark, docs):
     assert len(ids) == len(set(ids)) and 3 in ids and None in ids
 
 
-@pytest.mark.parametrize("bucket", [1, 48])
-def test_stage_links_sets_of_similarity_four_fifths(spark, bucket):
+def test_stage_links_sets_of_similarity_four_fifths(spark):
     rng = random.Random(5)
     texts = [None, "", " \n", "two words", "Two  WORDS"]
     for n in (25, 60, 200, 900):
@@ -139,15 +138,21 @@ def test_stage_links_sets_of_similarity_four_fifths(spark, bucket):
             for at in rng.sample(range(n), edits):
                 other[at] = f"x{rng.randrange(5000)}"
             texts.append(" ".join(other))
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    for _ in range(150):  # one large group of copies, changed more or less
+        other = list(base)
+        for at in rng.sample(range(120), rng.randint(0, 6)):
+            other[at] = f"x{rng.randrange(5000)}"
+        texts.append(" ".join(other))
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
-    root = list(range(len(texts)))
-    for _ in texts:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets[:i]):
-                if a == b or 5 * len(a & b) >= 4 * len(a | b):
-                    root[i] = root[j] = min(root[i], root[j])
+    alike = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or 5 * len(a & b) >= 4 * len(a | b)]
+    root, before = list(range(len(texts))), None
+    while root != before:
+        before = list(root)
+        for i, j in alike:
+            root[i] = root[j] = min(root[i], root[j])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.id: r.component for r in simhash.similar_documents(docs, pair_bucket=bucket).collect()} == dict(enumerate(root))
+    assert {r.id: r.component for r in simhash.similar_documents(docs).collect()} == dict(enumerate(root))
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(root)
     prints = [plain_fingerprint(t) for t in texts]
     assert any(root[i] == root[j] and (prints[i] ^ prints[j]).bit_count() > 2 for i in range(len(texts)) for j in range(i))
