@@ -38,7 +38,7 @@ def _scaled_ranks(g: Graph) -> DataFrame:
 
 
 def _similar(g: Graph) -> DataFrame:
-    pairs = g.edges.where("src < 20").select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    pairs = g.edges.select(F.col("src").alias("x"), F.col("dst").alias("y"))
     out = analytics.similarity(g, pairs, 3)
     return out.select("x", "y", F.round("lrw", 12).alias("lrw"), F.round("srw", 12).alias("srw"))
 
@@ -71,7 +71,7 @@ def _mapped(g: Graph) -> DataFrame:
 
 def _raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.select((F.col("l_partkey") % 200).alias("a"), (F.col("l_suppkey") % 200).alias("b"), (F.col("l_returnflag") == "R").alias("out"))
+    return lines.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), (F.col("l_returnflag") == "R").alias("out"))
 
 
 def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +172,7 @@ bits as (select length(bin(greatest(n - 1, 1))) + 1 b from n)"""
 
 
 _R, _Q = _graph_sql(), _graph_sql("l_suppkey", "l_quantity >= 48")
-_FLAGS = "f as (select l_partkey % 200 a, l_suppkey % 200 b, l_returnflag = 'R' o from lineitem where l_partkey % 200 <> l_suppkey % 200)"
+_FLAGS = "f as (select l_partkey a, l_suppkey b, l_returnflag = 'R' o from lineitem where l_partkey <> l_suppkey)"
 _OFFSETS = "off as (select id, degree, coalesce(sum(degree * b) over (order by id rows between unbounded preceding and 1 preceding), 0)::bigint bit_offset from deg, bits)"
 _DELTAS = _OFFSETS + """, d as (select abs(s.a - s.b) * 16 dv, abs(x.bit_offset // 8 - y.bit_offset // 8) de from s join off x on x.id = s.a join off y on y.id = s.b)"""
 _COND = """c as (select a % 50 part, sum((a % 50 <> b % 50)::int) x, count(*) din from s group by 1),
@@ -208,7 +208,7 @@ _WALK = ", ".join(
     [f"sd as (select distinct x s from ask union select distinct y from ask), u0 as (select s, s id, 1.0::double p from sd)"]
     + [f"u{k} as (select u.s, s.b id, sum(p / degree) p from u{k - 1} u join s on s.a = u.id join deg on deg.id = u.id group by all)" for k in range(1, 4)]
 )
-_SIM = f""", ask as (select distinct src x, dst y from e where src < 20), {_WALK},
+_SIM = f""", ask as (select distinct src x, dst y from e), {_WALK},
 us as (select 1 t, * from u1 union all select 2, * from u2 union all select 3, * from u3),
 both_ as (select ask.x, ask.y, t, degree * p v from ask join deg on deg.id = ask.x join us on us.s = ask.x and us.id = ask.y union all select ask.x, ask.y, t, degree * p from ask join deg on deg.id = ask.y join us on us.s = ask.y and us.id = ask.x)
 select ask.x, ask.y, round(coalesce(sum(v) filter (t = 3), 0) / (select count(*) from s), 12) lrw, round(coalesce(sum(v), 0) / (select count(*) from s), 12) srw from ask left join both_ using (x, y) group by ask.x, ask.y"""

@@ -8,33 +8,35 @@ from pyspark.sql import functions as F
 
 from skein.functions.scalar import PAGE
 from skein.model import Graph, bits_per_edge
-from skein.plans.fixpoint import parts, steady
+from skein.plans.fixpoint import Laid, parts, steady
 from skein.plans.ranking import running_sum
-from skein.plans.storage import drop, save
+from skein.plans.storage import drop, in_session, new_path, save, save_counting
 
 
 def pagerank(g: Graph, iterations: int = 5, damping: float = 0.85) -> DataFrame:
     """``(id, rank)`` after so many rounds from 1/n; what vertices without out-edges hold is lost.
 
-    Edges are laid out by source once; ranks come out of their sum by id in the
-    same layout, so a round shuffles partial sums only.
+    Edges are laid out by source once, a hub's in pieces; ranks come out of
+    their sum by id in the same layout, so a round shuffles partial sums only.
     """
     spark = g.vertices.sparkSession
     n = g.vertices.count()
     if not n:
         return g.vertices.select("id", F.lit(0.0).alias("rank"))
-    k = parts(spark)
-    with steady(spark):
-        deg = g.edges.groupBy("src").agg(F.count("*").alias("deg"))
-        edges = g.edges.select("src", "dst").join(deg, "src").repartition(k, "src").persist(StorageLevel.MEMORY_AND_DISK)
-        ids = g.vertices.select("id").repartition(k, "id").persist(StorageLevel.MEMORY_AND_DISK)
-        ranks = ids.withColumn("rank", F.lit(1.0 / n))
-        for _ in range(iterations):
-            sums = edges.join(ranks, edges["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") * damping / F.col("deg")).alias("s"))
-            ranks = ids.join(sums, ids["id"] == sums["dst"], "left").select("id", ((1 - damping) / n + F.coalesce("s", F.lit(0.0))).alias("rank"))
-        out = save(ranks, "ranks")
-        edges.unpersist()
-        ids.unpersist()
+    k, side = parts(spark), steady(spark)
+    deg = g.edges.groupBy("src").agg(F.count("*").alias("deg"))
+    kept = save(g.edges.select("src", "dst").join(deg, "src"), "edges")
+    vertices = save(g.vertices.select("id"), "ids")
+    laid = Laid(in_session(side, kept), k)
+    ids = in_session(side, vertices).repartition(k, "id").persist(StorageLevel.MEMORY_AND_DISK)
+    ranks = ids.withColumn("rank", F.lit(1.0 / n))
+    for _ in range(iterations):
+        sums = laid.meet(ranks).groupBy("dst").agg(F.sum(F.col("rank") * damping / F.col("deg")).alias("s"))
+        ranks = ids.join(sums, ids["id"] == sums["dst"], "left").select("id", ((1 - damping) / n + F.coalesce("s", F.lit(0.0))).alias("rank"))
+    out = in_session(spark, save(ranks, "ranks"))
+    laid.free()
+    ids.unpersist()
+    drop(kept, vertices)
     return out
 
 
@@ -86,23 +88,30 @@ def core_numbers(g: Graph, max_rounds: int = 100_000) -> DataFrame:
     """``(id, core)``: the largest k with a subgraph of least degree k around the vertex.
 
     Starting from degrees, a vertex takes the H-index of its neighbours' values
-    until nothing changes.  A round counts values per (vertex, value) before it
-    ranks them, so a hub needs as many rows as it has distinct values.
+    until nothing changes; after the first round only neighbours of changed
+    vertices are looked at.  A round counts values per (vertex, value) before it
+    ranks them, so a hub needs as many rows as it has distinct values.  Raises
+    if ``max_rounds`` are not enough.
     """
     adj = save(g.adjacency().select("id", "nbr"), "adj")
     deg = adj.groupBy("id").agg(F.count("*").alias("core"))
     state = save(g.vertices.select("id").join(deg, "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core"), F.lit(True).alias("changed")), "core")
-    for _ in range(max_rounds):
-        values = adj.join(state.select(F.col("id").alias("nbr"), "core"), "nbr").groupBy("id", "core").agg(F.count("*").alias("n"))
+    near = adj
+    for n in range(max_rounds):
+        if n:  # entries of the vertices next to a change
+            moved = state.where("changed").select(F.col("id").alias("nbr"))
+            near = adj.join(adj.join(moved, "nbr").select("id").distinct(), "id", "left_semi")
+        values = near.join(state.select(F.col("id").alias("nbr"), "core"), "nbr").groupBy("id", "core").agg(F.count("*").alias("n"))
         at_least = F.sum("n").over(Window.partitionBy("id").orderBy(F.col("core").desc()))
         h = values.select("id", F.least("core", at_least).alias("h")).groupBy("id").agg(F.max("h").alias("h"))
-        new = F.least("core", F.coalesce("h", F.lit(0)))
-        nxt = save(state.join(h, "id", "left").select("id", new.alias("core"), (new < F.col("core")).alias("changed")), "core")
+        new = F.least("core", F.coalesce("h", F.col("core")))
+        nxt, changes = save_counting(state.join(h, "id", "left").select("id", new.alias("core"), (new < F.col("core")).alias("changed")), "core", F.col("changed"))
         drop(state)
         state = nxt
-        if state.where("changed").isEmpty():
-            break
-    return state.select("id", "core")
+        if not changes:
+            drop(adj)
+            return state.select("id", "core")
+    raise RuntimeError(f"core numbers still fell after {max_rounds} rounds")
 
 
 def maximal_independent_set(g: Graph, max_rounds: int = 1_000_000) -> DataFrame:
@@ -110,20 +119,31 @@ def maximal_independent_set(g: Graph, max_rounds: int = 1_000_000) -> DataFrame:
 
     A vertex joins once all its smaller neighbours are out and leaves once one
     is in, so a round decides whole fronts; the number of rounds is the longest
-    chain of decisions.
+    chain of decisions.  A round meets the open pairs with the last round's
+    decisions only, drops what they settle, and appends new decisions to a
+    folder; nothing is written twice.
     """
+    spark = g.vertices.sparkSession
+    folder = new_path(spark, "decided")
     lower = save(g.pairs().select(F.col("b").alias("id"), F.col("a").alias("low")), "lower")
-    known = save(g.vertices.select("id").join(lower, "id", "left_anti").select("id", F.lit(True).alias("in_mis")), "known")
-    for _ in range(max_rounds):
-        if lower.isEmpty():
-            return known
-        seen = lower.join(known.select(F.col("id").alias("low"), "in_mis"), "low", "left")
+    schema = "id long, in_mis boolean"
+
+    def decide(rows: DataFrame, n: int) -> DataFrame:
+        rows.select(F.col("id").cast("long").alias("id"), "in_mis").write.parquet(f"{folder}/round={n}")
+        return spark.read.schema(schema).parquet(f"{folder}/round={n}")
+
+    last = decide(g.vertices.select("id").join(lower, "id", "left_anti").select("id", F.lit(True).alias("in_mis")), 0)
+    for n in range(1, max_rounds):
+        seen = lower.join(last.select(F.col("id").alias("low"), "in_mis"), "low", "left")
         state = seen.groupBy("id").agg(F.coalesce(F.bool_or("in_mis"), F.lit(False)).alias("out"), F.count_if(F.col("in_mis").isNull()).alias("open"))
-        decided = save(state.where("out or open = 0").select("id", (~F.col("out")).alias("in_mis")), "decided")
-        nxt = save(lower.join(decided, "id", "left_anti"), "lower")
-        more = save(known.unionByName(decided), "known")
-        drop(lower, known, decided)
-        lower, known = nxt, more
+        # a pair whose smaller end is out is settled, and so are all pairs of a decided vertex
+        marked = save(seen.select("id", "low", F.col("in_mis").isNull().alias("waits")).join(state, "id"), "marked")
+        last = decide(marked.where("out or open = 0").select("id", (~F.col("out")).alias("in_mis")).distinct(), n)
+        nxt, left = save_counting(marked.where("not out and open > 0 and waits").select("id", "low"), "lower", F.lit(True))
+        drop(lower, marked)
+        lower = nxt
+        if not left:
+            return spark.read.schema(schema).parquet(folder).select("id", "in_mis")
     raise RuntimeError("the set did not settle")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -36,6 +37,20 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def save_counting(df: DataFrame, label: str, what: Column) -> tuple[DataFrame, int]:
+    """:func:`save`, and the number of rows for which ``what`` is true, counted in the same job."""
+    seen = Observation()
+    out = save(df.observe(seen, F.count_if(what).alias("n"), F.count(F.lit(1)).alias("rows")), label)
+    return out, seen.get["n"]
+
+
+def in_session(spark: SparkSession, table: DataFrame) -> DataFrame:
+    """A table made by :func:`save`, read in another session."""
+    out = spark.read.schema(table.schema).parquet(table._skein_path)
+    out._skein_path = table._skein_path
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by :func:`save` that nothing reads any more."""
     for table in tables:
