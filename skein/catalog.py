@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from skein.functions.scalar import haversine
 from skein.model import Graph
 from skein.operators import analytics, kernels, layout, traverse
-from skein.plans.storage import save
-from skein.sources import codec, generate
+from skein.plans.storage import new_path, save
+from skein.sources import codec, files, generate, text
 from skein.sources.tables import part_chain, with_coordinates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,81 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return degree_counts(spark, sf_dir)
 
 
+def _from_files(form: str) -> Callable[[Graph], DataFrame]:
+    """The graph written to files and read again, with weights."""
+
+    def run(g: Graph) -> DataFrame:
+        spark, name = g.vertices.sparkSession, new_path(g.vertices.sparkSession, f"graph-{form}")
+        files.write_graph(g, name, form)
+        adj = files.read_adjacency(spark, name, form).join(files.read_weights(spark, name), ["id", "pos"])
+        return adj.select("id", "nbr", "incoming", "weight")
+
+    return run
+
+
+def _coordinates(g: Graph) -> DataFrame:
+    name = new_path(g.vertices.sparkSession, "graph-co")
+    files.write_graph(located(g), name)
+    return files.read_coordinates(g.vertices.sparkSession, name).select("id", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
+
+
+def _header(form: str) -> Callable[[Graph], DataFrame]:
+    def run(g: Graph) -> DataFrame:
+        name = new_path(g.vertices.sparkSession, "graph-info")
+        files.write_graph(Graph(g.vertices, g.edges.select("src", "dst")), name, form)
+        return text.read_info(g.vertices.sparkSession, f"{name}.info")
+
+    return run
+
+
+def _ir_text(g: Graph) -> DataFrame:
+    """Forward and reverse edge lists in text, read as one graph."""
+    spark, name = g.vertices.sparkSession, new_path(g.vertices.sparkSession, "ir")
+    g.edges.select(F.format_string("%d %d F", "src", "dst")).write.text(f"{name}-f")
+    g.edges.select(F.format_string("%d\t%d R", "dst", "src")).write.text(f"{name}-r")
+    return text.read_edge_text(spark, f"{name}-f", f"{name}-r").edges
+
+
+def _road_text(g: Graph) -> DataFrame:
+    """Forward and reverse road files with weights in metres, 1-based."""
+    spark, name = g.vertices.sparkSession, new_path(g.vertices.sparkSession, "roads")
+    metres = (F.col("weight") * 1000).cast("long")
+    g.edges.select(F.format_string("%d %d F %d", F.col("src") + 1, F.col("dst") + 1, metres)).write.text(f"{name}-f")
+    g.edges.select(F.format_string("%d %d R %d", F.col("dst") + 1, F.col("src") + 1, metres)).write.text(f"{name}-r")
+    return text.read_dimacs(spark, f"{name}-f", reverse_path=f"{name}-r").edges
+
+
+def _road_places(g: Graph) -> DataFrame:
+    spark, name = g.vertices.sparkSession, new_path(g.vertices.sparkSession, "places")
+    micro = lambda k, m: (F.col("id") * k % m - m // 2) * 1000
+    g.vertices.select(F.format_string("v %d %d %d", F.col("id") + 1, micro(7919, 360000), micro(104729, 180000))).write.text(f"{name}-co")
+    g.edges.select(F.format_string("%d %d F 1", F.col("src") + 1, F.col("dst") + 1)).write.text(f"{name}-e")
+    v = text.read_dimacs(spark, f"{name}-e", f"{name}-co").vertices
+    return v.select("id", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
+
+
+def _tsv_text(g: Graph) -> DataFrame:
+    """The generator's text with its header, written and read; the header's count makes the vertices."""
+    name = new_path(g.vertices.sparkSession, "tsv")
+    layout.write_tsv(g, name)
+    back = text.read_pairs(g.vertices.sparkSession, name)
+    return back.edges.join(back.vertices.agg(F.count("*").alias("vertices")), F.lit(True))
+
+
+def _scan(g: Graph) -> DataFrame:
+    """Checksum of the packed adjacency's pages."""
+    name = new_path(g.vertices.sparkSession, "scan")
+    files.write_graph(Graph(g.vertices, g.edges.select("src", "dst")), name)
+    return text.page_checksum(g.vertices.sparkSession, f"{name}.calist").select("pages", "zero_pages")
+
+
+def _scalars(g: Graph) -> DataFrame:
+    from skein.functions import scalar as fn
+
+    e, a, b = g.edges, F.col("src"), F.col("dst")
+    return e.select("src", "dst", fn.abs_diff(a, b).alias("apart"), fn.sign_diff(a, b).alias("falls"), fn.saturating_subtract(a, b).alias("over"), fn.bytes_of_bits(a).alias("n_bytes"), fn.bit_length(a + 1).alias("n_bits"), fn.page_of_bit(a * 4096).alias("page"), fn.lcg_next(a, 0xFFFF).alias("lcg"))
+
+
 QUERIES: dict[str, Query] = {
     "edges_ingest": _of(lambda g: g.edges),
     "edges_ingest_supplier": _of(lambda g: g.edges, "supplier"),
@@ -154,6 +229,22 @@ QUERIES: dict[str, Query] = {
     "codec_roundtrip_csr": _of(lambda g: codec.round_trip(g, "csr")),
     "codec_roundtrip_cal": _of(lambda g: codec.round_trip(g, "cal")),
     "stream_degrees": _daily,
+    "files_csr": _of(_from_files("csr")),
+    "files_cal": _of(_from_files("cal")),
+    "files_coordinates": _of(_coordinates),
+    "files_header_csr": _of(_header("csr")),
+    "files_header_cal": _of(_header("cal")),
+    "files_checksum": _of(_scan),
+    "text_edges": _of(_ir_text),
+    "text_roads": _of(_road_text),
+    "text_places": _of(_road_places),
+    "text_pairs": _of(_tsv_text),
+    "scalar_functions": _of(_scalars),
+    "frontier_sizes": _of(lambda g: traverse.frontiers(traverse.bfs_levels(g, 0), threshold=200)),
+    "frontier_share": _of(lambda g: _rounded(traverse.threshold_share(traverse.bfs_levels(g, 0), threshold=200))),
+    "giant_tree": _of(lambda g: traverse.forest_count(traverse.bfs_forest(g))),
+    "prim_first_tree": _of(lambda g: kernels.prim_forest(g.as_undirected(), only_start=True).agg(F.sum("cost").alias("weight"), F.count("*").alias("members"))),
+    "static_measures": _of(lambda g: analytics.static_measures(g)),
 }
 
 
@@ -212,6 +303,14 @@ _SIM = f""", ask as (select distinct src x, dst y from e), {_WALK},
 us as (select 1 t, * from u1 union all select 2, * from u2 union all select 3, * from u3),
 both_ as (select ask.x, ask.y, t, degree * p v from ask join deg on deg.id = ask.x join us on us.s = ask.x and us.id = ask.y union all select ask.x, ask.y, t, degree * p from ask join deg on deg.id = ask.y join us on us.s = ask.y and us.id = ask.x)
 select ask.x, ask.y, round(coalesce(sum(v) filter (t = 3), 0) / (select count(*) from s), 12) lrw, round(coalesce(sum(v), 0) / (select count(*) from s), 12) srw from ask left join both_ using (x, y) group by ask.x, ask.y"""
+#: Weight and edges of a spanning forest: with c(t) components among edges of weight t or less, the forest has c(t - 1) - c(t) edges of weight t.
+_SPAN = """th as (select t from (select 0::bigint t union all select unnest(range(1, 98))::bigint)),
+tc(t, id, c) using key (t, id) as (select t, id, id from th, v union
+  select f.t, x.b, min(f.c) from tc f join (select a, b, w from p union all select b, a, w from p) x on x.a = f.id and x.w <= f.t join recurring.tc q on q.t = f.t and q.id = x.b where f.c < q.c group by f.t, x.b),
+cc as (select t, count(distinct c) n from tc group by t),
+span as (select (select n from cc where t = 97) trees, sum(case when t < 97 then n - (select n from cc where t = 97) end)::double weight, max(n) - min(n) edges from cc)"""
+_TURN = "({} % 2147483648 * 2654435761 % 4294967296)"
+_FIRST_TREE = """ft(id, c) using key (id) as (select 0::bigint, 0::bigint union select s.b, 0 from ft join s on s.a = ft.id left join recurring.ft q on q.id = s.b where q.id is null)"""
 _HASHED = "hm as (select id, row_number() over (order by (id * 2654435761) % 4294967296, id) - 1 new_id from v)"
 
 ORACLES: dict[str, str] = {
@@ -268,6 +367,25 @@ ORACLES: dict[str, str] = {
     "dot_lines": f"{_R} select chr(9) || src || ' -> ' || dst || ';' line from e",
     "codec_roundtrip_csr": f"{_R} select (select count(*) from s)::bigint entries, 0::bigint lost, ((select count(*) from s) * b + 7) // 8 alist_bytes from bits",
     "codec_roundtrip_cal": f"{_R} select (select count(*) from s)::bigint entries, 0::bigint lost, (sum(x)::bigint + 7) // 8 alist_bytes from (select sum(length(bin(abs(a - b)))) + max(length(bin(abs(a - b)))) - 1 + 2 * count(*) x from s group by a)",
+    "msf_weight": f"{_R}, {_SPAN} select weight, edges from span",
+    "prim_costs": f"{_R}, {_SPAN} select weight, trees from span",
+    "prim_first_tree": f"{_R}, {_FIRST_TREE}, {_SPAN.replace('th, v union', 'th, ft v union')} select weight, (select count(*) from ft) members from span",
+    "relabel_half": f"{_R} select id, row_number() over (order by id >= n // 2, case when id < n // 2 then id else id * 2654435761 % 4294967296 end, id) - 1 new_id from v, n",
+    "random_weights": f"{_R} select src, dst, {_TURN.format('(' + _TURN.format('(' + _TURN.format('3735928559') + ' + src)') + ' + dst)')} / 4294967296.0::double * n weight from e, n",
+    "files_csr": f"{_R} select a id, b nbr, not exists (select 1 from e where src = a and dst = b) incoming, (1 + (least(a, b) * 31 + greatest(a, b) * 17) % 97)::double weight from s",
+    "files_cal": f"{_R} select a id, b nbr, not exists (select 1 from e where src = a and dst = b) incoming, (1 + (least(a, b) * 31 + greatest(a, b) * 17) % 97)::double weight from s",
+    "files_coordinates": f"{_R}, {_CO} select id, round(lon, 9) lon, round(lat, 9) lat from co",
+    "files_header_csr": f"{_R} select n vertices, (select count(*) from s) alist_entries, ((select count(*) from s) * b + 7) // 8 alist_bytes from n, bits",
+    "files_header_cal": f"{_R} select (select n from n) vertices, (select count(*) from s) alist_entries, (sum(x)::bigint + 7) // 8 alist_bytes from (select sum(length(bin(abs(a - b)))) + max(length(bin(abs(a - b)))) - 1 + 2 * count(*) x from s group by a)",
+    "files_checksum": f"{_R} select (((select count(*) from s) * b + 7) // 8 + 4095) // 4096 pages, 0::bigint zero_pages from bits",
+    "text_edges": f"{_R} select src, dst from e",
+    "text_roads": f"{_R} select src, dst, w weight from e",
+    "text_places": f"{_R}, {_CO} select id, round(lon, 9) lon, round(lat, 9) lat from co",
+    "text_pairs": f"{_R} select src, dst, n vertices from e, n",
+    "scalar_functions": f"{_R} select src, dst, abs(src - dst) apart, (src > dst)::int falls, greatest(src - dst, 0)::bigint \"over\", (src + 7) // 8 n_bytes, length(bin(src + 1)) n_bits, src * 4096 // 32768 page, (src * 1103515245 + 12345) & 65535 lcg from e",
+    "frontier_sizes": f"{_R}, {_SSSP.format(edges='(select src, dst, 1.0::double w from e)')} select cost::bigint as \"level\", count(*) vertices, count(*) >= 200 above from d group by cost",
+    "frontier_share": f"{_R}, {_SSSP.format(edges='(select src, dst, 1.0::double w from e)')} select round(coalesce(sum(case when c >= 200 then c else 0 end) / sum(c), 0), 6) f_threshold from (select count(*) c from d group by cost)",
+    "giant_tree": f"{_R}, {_FOREST} select (select count(distinct k // 1048576) from f) components, root giant_root, c giant_size from (select k // 1048576 root, count(*) c from f group by 1) order by c desc, root limit 1",
     "stream_degrees": "select user_id, count(*) n_events, count(distinct event_type) n_types from events group by user_id",
 }
 

@@ -16,7 +16,7 @@ def order_of(g: Graph, order: str = "identity", seed: int = 1, start: int = 0) -
     """``(id, new_id)``, a permutation of the ids.
 
     ``identity``, ``hash`` (by a multiplicative hash), ``random`` (by a seeded
-    hash), ``half`` (the lower half stays, the upper is shuffled), ``bfs`` (root,
+    hash), ``half`` (the lower half stays, the upper is dealt by the multiplicative hash), ``bfs`` (root,
     level, id), ``subtree`` and ``subtree_light`` (see ``kernels.subtree_order``).
     """
     ids = g.vertices.select("id")
@@ -30,7 +30,7 @@ def order_of(g: Graph, order: str = "identity", seed: int = 1, start: int = 0) -
         keyed = ids.withColumn("k", F.xxhash64("id", F.lit(seed)))
     elif order == "half":
         n = g.vertices.count()
-        keyed = ids.withColumn("k", F.when(F.col("id") < n // 2, F.struct(F.lit(0).alias("u"), F.col("id").alias("v"))).otherwise(F.struct(F.lit(1).alias("u"), F.xxhash64("id", F.lit(seed)).alias("v"))))
+        keyed = ids.withColumn("k", F.when(F.col("id") < n // 2, F.struct(F.lit(0).alias("u"), F.col("id").alias("v"))).otherwise(F.struct(F.lit(1).alias("u"), (F.col("id") * 2654435761 % 4294967296).alias("v"))))
     elif order == "bfs":
         n = g.vertices.count()
         keyed = bfs_forest(g, start).select("id", F.struct(F.pmod(F.col("root") - start, F.lit(n)), F.col("level")).alias("k"))
@@ -73,8 +73,22 @@ def write_dot(g: Graph, path: str) -> None:
     body.orderBy("k", "line").select("line").write.text(path)
 
 
+def tsv_lines(g: Graph, counted: bool = True) -> DataFrame:
+    """``(k, line)``: the header (k = 0) with the numbers of vertices and edges, and one line for each edge."""
+    edges = g.edges.select(F.lit(1).alias("k"), F.format_string("%d \t%d", "src", "dst").alias("line"))
+    sizes = g.vertices.agg(F.count("*").alias("n")).join(g.edges.agg(F.count("*").alias("m")), F.lit(True))  # one row
+    head = sizes.select(F.lit(0).alias("k"), F.explode(F.array(F.format_string("# Nodes: %d Edges: %d", "n", "m"), F.lit("# NodeId \tNodeId"))).alias("line"))
+    return head.unionByName(edges)
+
+
 def write_tsv(g: Graph, path: str) -> None:
-    g.edges.select("src", "dst").write.csv(path, sep="\t")
+    """A folder of part files in order: the header stands at the head of the first, edges by source and target."""
+    tsv_lines(g).orderBy("k", F.split("line", " \t")[0].try_cast("long"), "line").select("line").write.text(path)
+
+
+def write_jdbc(g: Graph, url: str, table: str, **options: str) -> None:
+    """Edges to a database table, in parallel connections; needs the database's driver on the class path."""
+    g.edges.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
 
 
 def edge_ordinal(g: Graph) -> DataFrame:

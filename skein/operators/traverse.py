@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.scalar import haversine
@@ -174,5 +174,15 @@ def prim_costs(g: Graph, one_task: int = kernels.ONE_TASK) -> DataFrame:
     return weight.join(wcc(g).agg(F.countDistinct("component").alias("trees")), F.lit(True))
 
 
-def root_rank(start: int, n: int) -> Column:
-    return F.pmod(F.col("id") - start, F.lit(n))
+
+def frontiers(forest: DataFrame, level: str = "level", threshold: int = 1000) -> DataFrame:
+    """``(level, vertices, above)``: the vertices that a walk settles in each round, and whether at least ``threshold`` of them wait together."""
+    sizes = forest.groupBy(F.col(level).alias("level")).agg(F.count("*").alias("vertices"))
+    return sizes.withColumn("above", F.col("vertices") >= threshold)
+
+
+def threshold_share(forest: DataFrame, level: str = "level", threshold: int = 1000) -> DataFrame:
+    """One row ``(f_threshold)``: the share of vertices settled in rounds of at least ``threshold``."""
+    rounds = frontiers(forest, level, threshold)
+    share = F.sum(F.when(F.col("above"), F.col("vertices")).otherwise(0)) / F.sum("vertices")
+    return rounds.agg(F.coalesce(share, F.lit(0.0)).alias("f_threshold"))

@@ -131,7 +131,8 @@ def random_numbers(n: int, seeds: tuple[int, int] = (1, 2), position: int = 0) -
 
 
 def with_random_weights(g: Graph, seed: int = 0xDEADBEEF) -> Graph:
-    """Weights below the number of vertices, by a seeded hash of the edge."""
+    """Weights from 0 to, without, the number of vertices, by a seeded multiplicative hash of the edge."""
     n = g.vertices.count()
-    u = F.shiftrightunsigned(F.xxhash64("src", "dst", F.lit(seed)), 11) / float(1 << 53)
+    turn = lambda x: x % 2147483648 * 2654435761 % 4294967296
+    u = turn(turn(turn(F.lit(seed).cast("long")) + F.col("src")) + F.col("dst")) / float(1 << 32)
     return Graph(g.vertices, g.edges.select("src", "dst", (u * n).alias("weight")))

@@ -45,9 +45,12 @@ def vertices_of(spark: SparkSession, edges: DataFrame, n: int | None = None) ->
     return spark.range(n)
 
 
-def read_dimacs(spark: SparkSession, edges_path: str, coords_path: str | None = None) -> Graph:
-    """1-based ``from to F|R metres`` lines and ``v id x y`` coordinates in millionths of a degree; weights in km, angles in radians."""
-    f = _fields(spark, edges_path).withColumn("at", F.monotonically_increasing_id())
+def read_dimacs(spark: SparkSession, edges_path: str, coords_path: str | None = None, reverse_path: str | None = None) -> Graph:
+    """1-based ``from to F|R metres`` lines, of a forward and a reverse file, and ``v id x y`` coordinates in millionths of a degree; weights in km, angles in radians."""
+    f = _fields(spark, edges_path)
+    if reverse_path is not None:
+        f = f.unionByName(_fields(spark, reverse_path))
+    f = f.withColumn("at", F.monotonically_increasing_id())
     at = lambda i, kind="long": F.get("f", F.lit(i)).cast(kind)
     rows = f.select((at(0) - 1).alias("a"), (at(1) - 1).alias("b"), (at(2, "string") == "F").alias("out"), (at(3) / 1000.0).alias("weight"), "at")
     edges = merge(rows).where("out").select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
