@@ -21,6 +21,8 @@ _CHUNK = 1 << 15
 STAGE_SHINGLE, ALIKE = 5, (4, 5)
 #: Bands of a MinHash signature and values in a band: sets of similarity 0.8 share no band with probability (1 - 0.8**4)**32 < 5e-8.
 BANDS, ROWS = 32, 4
+#: Keys of sets up to which they are sent to every task (8 bytes each).
+BROADCAST_KEYS = 1_000_000
 #: Bits of the parity map of a set, and longs that hold it.
 MAP_BITS, MAP_LONGS = 2048, 32
 _TURNS = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -204,13 +206,14 @@ def _may_be_alike(x: str, y: str) -> Column:
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of keys whose sets are similar enough, by their exact intersection."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    known = save(sets.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
+    wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
+    asked = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted  # else all sets are shuffled once
+    known = save(sets.join(asked, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
     x, y = known.select(F.col("key").alias("a"), F.col("hashes").alias("x")), known.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
     both, either = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
     # J = both / (either - both)
     out = save(pairs.join(x, "a").join(y, "b").where(both * sum(ALIKE) >= either * ALIKE[0]).select("a", "b"), "alike")
-    drop(known)
+    drop(known, wanted)
     return out
 
 
