@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import map_batches, table
 from skein.plans.components import connected_components
-from skein.plans.storage import drop, save
+from skein.plans.storage import drop, save, save_counting
 
 #: Bits of a fingerprint, words of a shingle, seed of XXH64.
 BITS, SHINGLE, SEED = 64, 3, 42
@@ -21,7 +21,7 @@ _CHUNK = 1 << 15
 STAGE_SHINGLE, ALIKE = 5, (4, 5)
 #: Bands of a MinHash signature and values in a band: sets of similarity 0.8 share no band with probability (1 - 0.8**4)**32 < 5e-8.
 BANDS, ROWS = 32, 4
-#: Keys of sets up to which they are sent to every task (8 bytes each).
+#: Keys of sets up to which they are sent to every task, with a hash of an id (16 bytes each).
 BROADCAST_KEYS = 1_000_000
 #: Bits of the parity map of a set, and longs that hold it.
 MAP_BITS, MAP_LONGS = 2048, 32
@@ -161,13 +161,21 @@ def shingle_set(text: bytes, shingle: int = STAGE_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[a : b - 1], SEED) for a, b in zip([0, *ends], ends[last:], strict=False)), np.uint64))
 
 
+def _set_key(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, key, n, bands, map, hashes)`` for every row.
+    """``(id, key, n, bands, map)`` for every row.
 
-    ``hashes`` is its set of shingles, ``n`` their number, ``key`` a hash of the
-    set, ``bands`` a hash of each MinHash band (empty set: none), and ``map``
-    says for each of ``MAP_BITS`` values of a shingle's first bits whether an
-    odd number of shingles has it.
+    Of the row's set of shingles ``n`` is the number, ``key`` a hash, ``bands``
+    a hash of each MinHash band (empty set: none), and ``map`` says for each of
+    ``MAP_BITS`` values of a shingle's first bits whether an odd number of
+    shingles has it.
     """
 
     def make(batch: pa.RecordBatch) -> dict:
@@ -181,12 +189,23 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             bands[:, k // ROWS] = bands[:, k // ROWS] * _MIX + np.minimum.reduceat(flat * turn, starts)
         cell = np.repeat(np.arange(len(sets)), n) * MAP_BITS + (flat >> np.uint64(64 - MAP_BITS.bit_length() + 1)).astype(np.int64)
         odd = np.packbits((np.bincount(cell, minlength=len(sets) * MAP_BITS) & 1).astype(np.uint8)).view(np.uint64)
-        lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
-        keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
-        return {"id": batch.column(0), "key": keys.view(np.int64), "n": n, "bands": lists(full * BANDS, bands.reshape(-1)), "map": lists(full * 0 + MAP_LONGS, odd), "hashes": lists(n, flat)}
+        keys = np.array([_set_key(x) for x in sets], np.uint64)
+        return {"id": batch.column(0), "key": keys.view(np.int64), "n": n, "bands": _lists(full * BANDS, bands.reshape(-1)), "map": _lists(full * 0 + MAP_LONGS, odd)}
 
     kind = dict(docs.dtypes)[id_col]
-    return map_batches(docs.select(id_col, text_col), make, f"id {kind}, key long, n long, bands array<long>, map array<long>, hashes array<long>", text_at=1)
+    return map_batches(docs.select(id_col, text_col), make, f"id {kind}, key long, n long, bands array<long>, map array<long>", text_at=1)
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """``(key, hashes)`` for every row of a table of one column: its set of shingles and the set's key."""
+
+    def make(batch: pa.RecordBatch) -> dict:
+        column = batch.column(0).cast(pa.large_binary()).fill_null(b"")
+        sets = [shingle_set(t) for t in column.to_pylist()]
+        keys = np.array([_set_key(x) for x in sets], np.uint64)
+        return {"key": keys.view(np.int64), "hashes": _lists(np.array([len(x) for x in sets], np.int64), np.concatenate(sets))}
+
+    return map_batches(texts, make, "key long, hashes array<long>", text_at=0)
 
 
 def _may_be_alike(x: str, y: str) -> Column:
@@ -204,11 +223,24 @@ def _may_be_alike(x: str, y: str) -> Column:
     return (F.least(n, m) * down >= F.greatest(n, m) * up) & (differ * (down + up) <= (n + m) * (down - up))
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of keys whose sets are similar enough, by their exact intersection."""
-    wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
-    asked = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted  # else all sets are shuffled once
-    known = save(sets.join(asked, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
+def _alike(pairs: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of keys whose sets are similar enough, by their exact intersection.
+
+    The sets are made again from the texts ``(id, text)`` of one row of each
+    key, found by a hash of its id, rather than stored for all rows.  Rows
+    without an id are all asked where a key has no other.
+    """
+    named = lambda c: F.xxhash64(F.col(c).cast("string"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(groups, "key")
+    wanted, nameless = save_counting(wanted.select("key", named("first").alias("name"), F.col("first").isNull().alias("nameless")), "wanted", F.col("nameless"))
+    few = wanted.count() <= BROADCAST_KEYS  # else the texts are shuffled once
+    sent = F.broadcast if few else lambda df: df
+    mine = docs.where(F.col("id").isNotNull()).withColumn("name", named("id"))
+    texts = mine.join(sent(wanted.where("not nameless").select("name").distinct()), "name", "left_semi").select("text")
+    if nameless:
+        texts = texts.unionByName(docs.where(F.col("id").isNull()).select("text"))
+    sets = shingle_sets(texts).join(sent(wanted.select("key")), "key", "left_semi")
+    known = save(sets.groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
     x, y = known.select(F.col("key").alias("a"), F.col("hashes").alias("x")), known.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
     both, either = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
     # J = both / (either - both)
@@ -229,18 +261,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     members, also where thousands of texts are alike.  Names and null ids are as
     in :func:`near_duplicates`.
     """
-    prints = save(signatures(docs, id_col, text_col), "signatures")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints = save(signatures(docs, "id", "text"), "signatures")
     groups = save(prints.groupBy("key").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("n", "bands", "map")]), "groups")
     rows = groups.select("key", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.count("*").alias("members"), F.min("key").alias("least"), F.max("key").alias("most")).where("members > 1")
     dealt = save(rows.join(buckets, "band"), "buckets")
-    what, sets = groups.select("key", "n", "map"), prints.select("key", "hashes")
+    what, firsts = groups.select("key", "n", "map"), groups.select("key", "first")
 
     stars = dealt.select(F.explode(F.array("least", "most")).alias("a"), F.col("key").alias("b")).where("a <> b")
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     x, y = what.alias("x"), what.alias("y")
     stars = stars.join(x, F.col("a") == F.col("x.key")).join(y, (F.col("b") == F.col("y.key")) & _may_be_alike("x", "y")).select("a", "b")
-    edges = _alike(save(stars, "stars"), sets)
+    edges = _alike(save(stars, "stars"), firsts, docs)
     comp = connected_components(edges)
 
     placed = dealt.where("members > 3").select("band", "key").join(comp.withColumnRenamed("id", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
@@ -251,7 +284,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     on = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & _may_be_alike("x", "y")
     rest = save(x.join(y, on).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "rest")
     if not rest.isEmpty():
-        comp = connected_components(edges.unionByName(_alike(rest, sets)))
+        comp = connected_components(edges.unionByName(_alike(rest, firsts, docs)))
     known = save(groups.join(comp.withColumnRenamed("id", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("root")), "roots")
     least = known.groupBy("root").agg(F.min("first").alias("component"))
     names = save(known.join(least, "root").select("key", "component"), "names")
