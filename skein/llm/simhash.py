@@ -23,6 +23,8 @@ STAGE_SHINGLE, ALIKE = 5, (4, 5)
 BANDS, ROWS = 32, 4
 #: Keys of sets up to which they are sent to every task, with a hash of an id (16 bytes each).
 BROADCAST_KEYS = 1_000_000
+#: Types of ids, of 8 bytes at most, that may be sent to every task.
+FIXED = ("tinyint", "smallint", "int", "bigint")
 #: Bits of the parity map of a set, and longs that hold it.
 MAP_BITS, MAP_LONGS = 2048, 32
 _TURNS = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -299,9 +301,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows without an id stay.  Of rows repeated with the same smallest id, one stays.
     """
     out = similar_documents(docs.select(id_col, text_col), id_col, text_col)
-    kept = out.where((F.col("id") == F.col("component")) | F.col("id").isNull())
-    kept = save(kept.groupBy(F.col("id").alias("_skein_id")).agg(F.count("*").alias("_skein_n")), "kept")
-    again = F.col("_skein_id").isNotNull() & (F.col("_skein_n") > 1)
-    rows = lambda ids: docs.join(ids, docs[id_col].eqNullSafe(F.col("_skein_id")), "left_semi")
-    once, repeated = rows(kept.where(~again)), kept.where(again)
-    return once if repeated.isEmpty() else once.unionByName(rows(repeated).dropDuplicates([id_col]))
+    per_id = out.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("_skein_id")).agg(F.count_if(F.col("id") == F.col("component")).alias("_skein_n"))
+    # ids with one row that stays need no mention; the others are few, and where they are not, the texts are shuffled once
+    odd = save(per_id.where("_skein_n <> 1"), "odd")
+    few = dict(docs.dtypes)[id_col] in FIXED and odd.count() <= BROADCAST_KEYS
+    sent = F.broadcast if few else lambda df: df
+    rows = lambda ids, how: docs.join(sent(ids), docs[id_col] == F.col("_skein_id"), how)
+    once, repeated = rows(odd, "left_anti"), odd.where("_skein_n > 1")
+    return once if repeated.isEmpty() else once.unionByName(rows(repeated, "left_semi").dropDuplicates([id_col]))

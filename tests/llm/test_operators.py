@@ -128,6 +128,21 @@ def test_simhash_edges(spark, docs):
     assert len(ids) == len(set(ids)) and 3 in ids and None in ids
 
 
+def test_stage_keeps_rows_by_id(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(80)]
+    near, other = " ".join([*base[:79], "x"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(4, " ".join(base)), (7, near), (None, near + " y"), (2, other), (2, other), (9, None), (8, ""), (None, "z z"), (None, "z z")]
+    kept = [(2, other), (4, " ".join(base)), (8, ""), (None, near + " y"), (None, "z z"), (None, "z z")]
+    plain = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for limit in (simhash.BROADCAST_KEYS, 0):  # with and without a broadcast
+        monkeypatch.setattr(simhash, "BROADCAST_KEYS", limit)
+        for kind in ("long", "string"):
+            as_id = lambda i: i if kind == "long" or i is None else str(i)  # noqa: B023, E731
+            df = spark.createDataFrame([(as_id(i), t) for i, t in rows], f"doc_id {kind}, text string")
+            assert plain(simhash.keep_one(df)) == sorted(((as_id(i), t) for i, t in kept), key=str)
+
+
 def test_stage_links_sets_of_similarity_four_fifths(spark):
     rng = random.Random(5)
     texts = [None, "", " \n", "two words", "Two  WORDS"]
