@@ -166,6 +166,13 @@ def _scalars(g: Graph) -> DataFrame:
     return e.select("src", "dst", fn.abs_diff(a, b).alias("apart"), fn.sign_diff(a, b).alias("falls"), fn.saturating_subtract(a, b).alias("over"), fn.bytes_of_bits(a).alias("n_bytes"), fn.bit_length(a + 1).alias("n_bits"), fn.page_of_bit(a * 4096).alias("page"), fn.lcg_next(a, 0xFFFF).alias("lcg"))
 
 
+def _scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks in the order of a scan that jumps about."""
+    from skein.functions import scalar as fn
+
+    return spark.range(4096).select(F.col("id").alias("k"), fn.lcg_at(F.col("id"), 0xFFF).alias("block"))
+
+
 QUERIES: dict[str, Query] = {
     "edges_ingest": _of(lambda g: g.edges),
     "edges_ingest_supplier": _of(lambda g: g.edges, "supplier"),
@@ -245,6 +252,11 @@ QUERIES: dict[str, Query] = {
     "giant_tree": _of(lambda g: traverse.forest_count(traverse.bfs_forest(g))),
     "prim_first_tree": _of(lambda g: kernels.prim_forest(g.as_undirected(), only_start=True).agg(F.sum("cost").alias("weight"), F.count("*").alias("members"))),
     "static_measures": _of(lambda g: analytics.static_measures(g)),
+    "bfs_rounds": _of(lambda g: traverse.bfs_rounds(g, 0).select("round", "settled")),
+    "sorted_entries": _of(layout.sorted_entries),
+    "relabel_random": _of(lambda g: layout.order_of(g, "random")),
+    "dfs_tree": _of(lambda g: kernels.subtree_order(g).select("id", "parent", "weight")),
+    "scan_order": _scan_order,
 }
 
 
@@ -311,6 +323,28 @@ cc as (select t, count(distinct c) n from tc group by t),
 span as (select (select n from cc where t = 97) trees, sum(case when t < 97 then n - (select n from cc where t = 97) end)::double weight, max(n) - min(n) edges from cc)"""
 _TURN = "({} % 2147483648 * 2654435761 % 4294967296)"
 _FIRST_TREE = """ft(id, c) using key (id) as (select 0::bigint, 0::bigint union select s.b, 0 from ft join s on s.a = ft.id left join recurring.ft q on q.id = s.b where q.id is null)"""
+#: Depth-first: each step settles the top of a stack whose settled members are gone, and pushes its neighbours, the least on top.
+_DFS = """nb as (select src id, list({'u': dst, 'p': src} order by dst desc) l from {edges} group by src),
+w(z, stack, seen, vs, ps, rs, r) using key (z) as (
+  select 0, [{'u': 0::bigint, 'p': null::bigint}], list_resize([]::boolean[], n, false), []::bigint[], []::bigint[], []::bigint[], 0::bigint from n
+  union
+  select 0, case when len(rest) > 0 then rest when nxt is not null then [{'u': nxt, 'p': null::bigint}] else [] end, seen2, vs2, ps2, rs2, case when len(rest) > 0 or nxt is null then r else nxt end
+  from (select *, case when len(rest) = 0 then list_position(seen2, false) - 1 end nxt from (
+    select r, seen2, list_append(vs, v.u) vs2, list_append(ps, v.p) ps2, list_append(rs, r) rs2, list_filter(list_concat(stack[:-2], coalesce(nb.l, [])), lambda x: not seen2[x.u + 1]) rest
+    from (select *, stack[-1] v, list_concat(seen[:stack[-1].u], [true], seen[stack[-1].u + 2:]) seen2 from w where len(stack) > 0) left join nb on nb.id = v.u))),
+dfs as (select unnest(vs) id, unnest(rs) root, unnest(ps) parent, unnest(range(len(vs))) preorder from w)"""
+#: A subtree's members follow its vertex in preorder, up to the next vertex that is no deeper.
+_DFS_DEPTH = """dd(id, d) using key (id) as (select id, 0 from dfs where parent is null union select dfs.id, dd.d + 1 from dd join dfs on dfs.parent = dd.id),
+do_ as (select dfs.id, parent, preorder, d from dfs join dd using (id))"""
+#: With its children in their order of visits, a vertex is numbered once half of its subtree is.
+_DFS_SIZE = _DFS_DEPTH + """, ds as (select id, parent, preorder, coalesce((select min(preorder) from do_ y where y.preorder > x.preorder and y.d <= x.d), (select count(*) from do_)) - preorder size from do_ x)"""
+_MIDDLE = """ko as (select *, coalesce(sum(size) over (partition by parent order by heavy desc, preorder desc rows between unbounded preceding and 1 preceding), 0)::bigint bef
+  from (select *, parent is not null and row_number() over (partition by parent order by size desc, preorder desc) = 1 heavy from ds)),
+own as (select h.id, coalesce(min(k.bef + k.size) filter (k.bef + k.size >= h.size // 2), 0) o from ds h left join ko k on k.parent = h.id group by h.id),
+bg(id, x) as (select id, bef from ko where parent is null union all select k.id, bg.x + k.bef + (k.bef >= h.size // 2)::bigint from bg join ko k on k.parent = bg.id join ds h on h.id = bg.id)"""
+#: An edge is in the forest unless lighter edges, or equal ones before it, connect its ends.
+_MSF = """ce as (select p.a, p.b, w, x.c ca, y.c cb from p join tc x on x.t = w - 1 and x.id = a join tc y on y.t = w - 1 and y.id = p.b where x.c <> y.c),
+rr(a, b, w, c) as (select a, b, w, ca from ce union select r.a, r.b, r.w, case when q.ca = r.c then q.cb else q.ca end from rr r join ce q on q.w = r.w and (q.a < r.a or (q.a = r.a and q.b < r.b)) and (q.ca = r.c or q.cb = r.c))"""
 _HASHED = "hm as (select id, row_number() over (order by (id * 2654435761) % 4294967296, id) - 1 new_id from v)"
 
 ORACLES: dict[str, str] = {
@@ -386,6 +420,16 @@ ORACLES: dict[str, str] = {
     "frontier_sizes": f"{_R}, {_SSSP.format(edges='(select src, dst, 1.0::double w from e)')} select cost::bigint as \"level\", count(*) vertices, count(*) >= 200 above from d group by cost",
     "frontier_share": f"{_R}, {_SSSP.format(edges='(select src, dst, 1.0::double w from e)')} select round(coalesce(sum(case when c >= 200 then c else 0 end) / sum(c), 0), 6) f_threshold from (select count(*) c from d group by cost)",
     "giant_tree": f"{_R}, {_FOREST} select (select count(distinct k // 1048576) from f) components, root giant_root, c giant_size from (select k // 1048576 root, count(*) c from f group by 1) order by c desc, root limit 1",
+    "dfs_preorder": f"{_R}, {_DFS.replace('{edges}', 'e')} select id, root, parent, preorder from dfs",
+    "dfs_tree": f"{_R}, {_DFS.replace('{edges}', '(select a src, b dst from s)')}, {_DFS_SIZE} select id, parent, size weight from ds",
+    "dfs_weight_remap": f"{_R}, {_DFS.replace('{edges}', '(select a src, b dst from s)')}, {_DFS_SIZE}, {_MIDDLE} select ds.id, x + o new_id, size weight, parent from ds join own using (id) join bg using (id)",
+    "msf_edges": f"{_R}, {_SPAN}, {_MSF} select a, b, w weight from ce where not exists (select 1 from rr where rr.a = ce.a and rr.b = ce.b and rr.c = ce.cb)",
+    "bfs_rounds": f"{_R}, {_SSSP.format(edges='(select src, dst, 1.0::double w from e)')} select cost::bigint as \"round\", count(*) settled from d where cost > 0 group by cost union all select max(cost)::bigint + 1, 0 from d",
+    "static_measures": f"{_R}, {_DELTAS}, m as (select count(*)::double m from s), x as (select count(*) / (select m from m) p from s group by b), y as (select count(*) / (select m from m) p from s group by abs(a - b)), "
+    "one as (select (select sum(p * log2(1 / p)) from x) ENTROPY_DIRECT, 1 + (select sum(p * log2(1 / p)) from y) ENTROPY_DELTA, avg(dv) DELTA_VERTICES_MEAN, stddev_pop(dv) DELTA_VERTICES_SD, avg(de) DELTA_EDGES_MEAN, stddev_pop(de) DELTA_EDGES_SD, "
+    "avg((dv >= 4096)::int) PROB_VERTEX_PAGE_CROSSING, avg((de >= 4096)::int) PROB_CALIST_PAGE_CROSSING from d) select metric, round(v, 3) as \"value\" from (unpivot one on columns(*) into name metric value v)",
+    "sorted_entries": f"{_R} select row_number() over (order by a, b) - 1 pos, a id, b nbr, not exists (select 1 from e where src = a and dst = b) incoming from s",
+    "scan_order": "with recursive r(k, block) as (select 0::bigint, 0::bigint union all select k + 1, (block * 1103515245 + 12345) & 4095 from r where k < 4095) select k, block from r",
     "stream_degrees": "select user_id, count(*) n_events, count(distinct event_type) n_types from events group by user_id",
 }
 

@@ -38,6 +38,16 @@ def lcg_next(n: Column, mask: int) -> Column:
     return (n * LCG_A + LCG_C).bitwiseAND(F.lit(mask))
 
 
+def lcg_at(k: Column, mask: int) -> Column:
+    """The generator's ``k``-th value from 0 on, for ``k`` up to ``mask``: one step for every bit of ``k``, so a sequence needs no walk."""
+    x, a, c = F.lit(0).cast("long"), LCG_A & mask, LCG_C & mask
+    for bit in range(mask.bit_length()):
+        on = F.shiftright(k, bit).bitwiseAND(F.lit(1)) == 1
+        x = (x * F.when(on, a).otherwise(1) + F.when(on, c).otherwise(0)).bitwiseAND(F.lit(mask))
+        a, c = a * a & mask, (a * c + c) & mask
+    return x
+
+
 def bit_reverse(x: Column) -> Column:
     """The 64 bits of a long in reverse order."""
     text = F.reverse(F.lpad(F.bin(x), 64, "0"))

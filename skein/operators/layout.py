@@ -86,6 +86,17 @@ def write_tsv(g: Graph, path: str) -> None:
     tsv_lines(g).orderBy("k", F.split("line", " \t")[0].try_cast("long"), "line").select("line").write.text(path)
 
 
+def sorted_entries(g: Graph) -> DataFrame:
+    """``(pos, id, nbr, incoming)``: all entries with their place in the order by vertex and neighbour; sorted by ranges, so no task holds more than its own."""
+    return global_row_number(g.adjacency(), ["id", "nbr"], "pos").select("pos", "id", "nbr", "incoming")
+
+
+def write_sorted(g: Graph, path: str) -> None:
+    """A folder of part files with ``from to F|R`` lines of all entries, in order over the parts."""
+    line = F.format_string("%d %d %s", F.col("id"), F.col("nbr"), F.when(F.col("incoming"), "R").otherwise("F"))
+    g.adjacency().orderBy("id", "nbr").select(line).write.text(path)
+
+
 def write_jdbc(g: Graph, url: str, table: str, **options: str) -> None:
     """Edges to a database table, in parallel connections; needs the database's driver on the class path."""
     g.edges.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()

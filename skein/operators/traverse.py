@@ -54,6 +54,14 @@ def bfs_levels(g: Graph, source: int, undirected: bool = False) -> DataFrame:
     return _from(g, source, g.out()).select("id", F.col("state").cast("long").alias("level"))
 
 
+def bfs_rounds(g: Graph, source: int) -> DataFrame:
+    """``(round, settled, seconds)`` of a walk by levels: what each round settles and how long it takes; the last settles nothing."""
+    g, seen = _one(g), []
+    init = g.vertices.select("id", F.when(F.col("id") == source, 0.0).alias("state"))
+    drop(propagate(init, g.out(), lambda s, w: s + w, each=lambda *row: seen.append(row)))
+    return g.vertices.sparkSession.createDataFrame(seen, "round long, settled long, seconds double")
+
+
 def sssp(g: Graph, source: int) -> DataFrame:
     """``(id, cost)`` of what ``source`` reaches, for weights of at least 0."""
     return _from(g, source, g.out()).select("id", F.col("state").alias("cost"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -54,7 +55,7 @@ class Laid:
             table.unpersist()
 
 
-def propagate(start: DataFrame, edges: DataFrame, message: Callable[[Column, Column], Column], max_rounds: int = 1_000_000, hub: int = HUB) -> DataFrame:
+def propagate(start: DataFrame, edges: DataFrame, message: Callable[[Column, Column], Column], max_rounds: int = 1_000_000, hub: int = HUB, each: Callable[[int, int, float], None] | None = None) -> DataFrame:
     """``(id, state)`` where no edge lowers a state any more.
 
     ``start(id, state)``: one row per vertex, null for a vertex not reached
@@ -62,14 +63,16 @@ def propagate(start: DataFrame, edges: DataFrame, message: Callable[[Column, Col
     ``(src, dst, weight)``; a vertex takes the least of its own state and what
     it gets.  Edges are laid out by source once and stay so; each round
     shuffles only messages, already reduced to one per target and task.  Raises
-    if ``max_rounds`` are not enough.
+    if ``max_rounds`` are not enough.  ``each`` is told every round's number (from
+    1), the states that it changed, and its seconds.
     """
     spark = start.sparkSession
     side = steady(spark)
     kept = save(edges.select("src", "dst", "weight"), "edges")
     laid = Laid(in_session(side, kept), parts(spark), hub)
     state = in_session(side, save(start.select("id", "state", F.col("state").isNotNull().alias("changed")), "state"))
-    for _ in range(max_rounds):
+    for n in range(1, max_rounds + 1):
+        began = time.perf_counter()
         sent = laid.meet(state.where("changed").select("id", "state")).select("dst", message(F.col("state"), F.col("weight")).alias("m"))
         best = sent.groupBy("dst").agg(F.min("m").alias("m"))
         joined = state.join(best, state["id"] == best["dst"], "left")
@@ -77,6 +80,8 @@ def propagate(start: DataFrame, edges: DataFrame, message: Callable[[Column, Col
         nxt, changes = save_counting(joined.select("id", F.when(better, F.col("m")).otherwise(F.col("state")).alias("state"), better.alias("changed")), "state", F.col("changed"))
         drop(state)
         state = nxt
+        if each:
+            each(n, changes, time.perf_counter() - began)
         if not changes:
             break
     else:

@@ -176,3 +176,29 @@ def test_sql(spark, name):
     got = catalog.queries()[name](spark, SF)
     assert sorted(columns) == sorted(got.columns)
     assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_rounds_settle_the_levels(toy):
+    got = traverse.bfs_rounds(toy, 0).collect()
+    assert [(r["round"], r["settled"]) for r in got] == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 0)]
+    assert all(r["seconds"] > 0 for r in got)
+
+
+def test_entries_sorted_over_all_parts(toy, spark, tmp_path):
+    rows = sorted(map(tuple, layout.sorted_entries(toy).collect()))
+    want = sorted(tuple(r) for r in toy.adjacency().select("id", "nbr", "incoming").collect())
+    assert rows == [(k, *r) for k, r in enumerate(want)]
+    layout.write_sorted(toy, f"file://{tmp_path}/entries")
+    parts = sorted((tmp_path / "entries").glob("part-*"))
+    lines = [x for p in parts for x in p.read_text().splitlines()]
+    assert lines == [f"{a} {b} {'R' if incoming else 'F'}" for a, b, incoming in want]
+
+
+def test_generator_by_index(spark):
+    mask = 0x3FF
+    got = [r[0] for r in spark.range(mask + 1).orderBy("id").select(scalar.lcg_at(F.col("id"), mask)).collect()]
+    x, want = 0, []
+    for _ in range(mask + 1):
+        want.append(x)
+        x = (x * scalar.LCG_A + scalar.LCG_C) & mask
+    assert got == want and len(set(want)) == mask + 1
