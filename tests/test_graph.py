@@ -51,6 +51,60 @@ def test_levels_and_orders(toy):
     assert sorted(col(layout.order_of(toy, "subtree"), "new_id")) == list(range(10))
 
 
+def plain_depth_first(n, edges):
+    near = {v: sorted(b for a, b in edges if a == v) for v in range(n)}
+    parent, root, order = {}, {}, []
+
+    def visit(v, r, p):
+        parent[v], root[v] = p, r
+        order.append(v)
+        for u in near[v]:
+            if u not in parent:
+                visit(u, r, v)
+
+    for v in range(n):
+        if v not in parent:
+            visit(v, v, None)
+    return parent, root, order
+
+
+def plain_subtree_order(n, edges, heavy):
+    parent, _, order = plain_depth_first(n, edges | {(b, a) for a, b in edges})
+    kids = {v: [u for u in order if parent[u] == v] for v in [*range(n), None]}
+    size, new = {}, {}
+    for v in reversed(order):
+        size[v] = 1 + sum(size[u] for u in kids[v])
+
+    def visit(v):
+        todo, began = list(reversed(kids[v])), len(new)
+        if heavy and todo:
+            todo.insert(0, todo.pop(todo.index(max(todo, key=size.get))))
+        for u in todo:
+            if v not in new and len(new) - began >= size[v] // 2:
+                new[v] = len(new)
+            visit(u)
+        if v not in new:
+            new[v] = len(new)
+
+    for r in reversed(kids[None]):
+        visit(r)
+    return [(v, new[v], size[v], parent[v]) for v in range(n)]
+
+
+def test_depth_first_has_no_limit(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "ONE_TASK", 0)
+    monkeypatch.setattr(kernels.one_task, "__defaults__", (0,))
+    rng = random.Random(4)
+    for n, m in ((1, 0), (60, 50), (60, 90), (90, 300)):
+        edges = {(a, b) for _ in range(m) if (a := rng.randrange(n)) != (b := rng.randrange(n))}
+        g = Graph(spark.range(n), spark.createDataFrame(sorted(edges), "src long, dst long"))
+        parent, root, order = plain_depth_first(n, edges)
+        got = sorted(map(tuple, kernels.dfs_forest(g).collect()), key=lambda r: r[3])
+        assert got == [(v, root[v], parent[v], k) for k, v in enumerate(order)]
+        for heavy in (True, False):
+            assert col(kernels.subtree_order(g, heavy), "id", "new_id", "weight", "parent") == plain_subtree_order(n, edges, heavy)
+
+
 def test_components(toy):
     assert col(traverse.wcc(toy), "component") == [0] * 7 + [7, 7, 9]
     assert col(traverse.scc(toy), "component") == [0, 0, 0, 3, 3, 5, 6, 7, 8, 9]
@@ -60,6 +114,11 @@ def test_prim_costs_above_one_task(toy):
     assert traverse.prim_costs(toy, 0).first() == traverse.prim_costs(toy).first()
 
 
+@pytest.mark.parametrize("start", [0, 3, 7, 9])
+def test_first_tree_above_one_task(toy, start):
+    assert traverse.first_tree(toy, start, 0).first() == traverse.first_tree(toy, start).first()
+
+
 def test_kronecker_query_has_the_default_size(spark):
     assert catalog.queries()["kronecker_edges"](spark, SF).count() == 16 << 16
 
