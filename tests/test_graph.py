@@ -114,9 +114,13 @@ def test_prim_costs_above_one_task(toy):
     assert traverse.prim_costs(toy, 0).first() == traverse.prim_costs(toy).first()
 
 
-@pytest.mark.parametrize("start", [0, 3, 7, 9])
-def test_first_tree_above_one_task(toy, start):
-    assert traverse.first_tree(toy, start, 0).first() == traverse.first_tree(toy, start).first()
+def test_first_tree_has_no_limit(toy, monkeypatch):
+    monkeypatch.setattr(kernels.one_task, "__defaults__", (0,))
+    both = toy.as_undirected()
+    for start, members in ((0, 7), (7, 2), (9, 1)):
+        tree = kernels.prim_forest(both, start, only_start=True)
+        assert tree.count() == members and {r.root for r in tree.collect()} == {start}
+    assert kernels.prim_forest(both).agg(F.sum("cost")).first()[0] == 278
 
 
 def test_kronecker_query_has_the_default_size(spark):
