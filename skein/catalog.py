@@ -38,8 +38,7 @@ def _scaled_ranks(g: Graph) -> DataFrame:
 
 
 def _similar(g: Graph) -> DataFrame:
-    pairs = g.edges.select(F.col("src").alias("x"), F.col("dst").alias("y"))
-    out = analytics.similarity(g, pairs, 3)
+    out = analytics.edge_similarity(g)
     return out.select("x", "y", F.round("lrw", 12).alias("lrw"), F.round("srw", 12).alias("srw"))
 
 

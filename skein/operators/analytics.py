@@ -84,6 +84,59 @@ def similarity(g: Graph, pairs: DataFrame, steps: int = 3) -> DataFrame:
     return asked.select("x", "y").join(sums, ["x", "y"], "left").select("x", "y", *[(F.coalesce(c, F.lit(0.0)) / max(1, entries)).alias(n) for c, n in (("l", "lrw"), ("r", "srw"))])
 
 
+def edge_similarity(g: Graph) -> DataFrame:
+    """``(x, y, lrw, srw)`` of :func:`similarity` in three steps, for every edge ``(x, y)``.
+
+    Walks are reversible, so both sides of a pair are alike, and of adjacent
+    vertices they are sums over triangles and cycles of four: with degrees d, a
+    step counts 1, two steps 1 / d(z) for every common neighbour z, three steps
+    1 / (d(u) d(w)) for every walk x-u-w-y.  Where a walk goes back these are
+    sums over one vertex's neighbours; the others close a cycle.  With vertices
+    ranked by (degree, id), paths a-m-c whose end a is the highest meet at
+    (a, c) and see every cycle once, by its highest vertex.  So only such paths
+    are shuffled, not the walks from every vertex, and hubs make few of them.
+    """
+    pairs = save(g.pairs(), "pairs")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    deg = save(both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("deg")), "deg")
+    entries = deg.agg(F.coalesce(F.sum("deg"), F.lit(0))).first()[0]
+    of = lambda c: deg.select(F.col("id").alias(c), F.col("deg").alias(f"d{c}"))
+    known = save(pairs.join(of("a"), "a").join(of("b"), "b"), "known")
+    inv = lambda c: 1 / F.col(c).cast("double")
+    # hi is the higher end of a pair
+    up = F.struct("da", "a") > F.struct("db", "b")
+    pick = lambda x, y, c: F.when(up, F.col(x)).otherwise(F.col(y)).alias(c)
+    ranked = save(known.select(pick("a", "b", "hi"), pick("b", "a", "lo"), pick("da", "db", "dhi"), pick("db", "da", "dlo")), "ranked")
+    ends = ranked.select(F.col("lo").alias("m"), F.col("dlo").alias("dm"), F.col("hi").alias("a"), F.col("dhi").alias("da"))
+    # c below m, or above it and below a
+    down = ranked.select(F.col("hi").alias("m"), F.col("lo").alias("c"), F.col("dlo").alias("dc"))
+    paths = ends.join(down.unionByName(ranked.select(F.col("lo").alias("m"), F.col("hi").alias("c"), F.col("dhi").alias("dc"))), "m")
+    paths = paths.where(F.struct("dc", "c") < F.struct("da", "a")).select("a", "c", "m", "dm")
+    marks = ranked.select(F.col("hi").alias("a"), F.col("lo").alias("c"), F.lit(None).cast("long").alias("m"), F.lit(None).cast("long").alias("dm"))
+    w = Window.partitionBy("a", "c")
+    met = paths.unionByName(marks).select("a", "c", "m", "dm", F.count("m").over(w).alias("n"), F.count("*").over(w).alias("rows"), F.sum(inv("dm")).over(w).alias("s"))
+    met = met.where("m is not null and (n > 1 or rows > n)").withColumns({"rest": F.when(F.col("n") > 1, F.col("s") - inv("dm")).otherwise(0.0), "tri": F.col("rows") > F.col("n")})
+    met = save(met.join(of("a"), "a").join(of("c"), "c").select("a", "c", "m", "rest", "tri", "dm", "da", "dc"), "met")
+
+    def gives(x: str, y: str, two, three) -> DataFrame:
+        return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), two.alias("two"), three.alias("three"))
+
+    zero, tri = F.lit(0.0), lambda c: F.when(F.col("tri"), inv(c)).otherwise(0.0)
+    # a triangle meets twice, with m and c exchanged: each time it gives to a-m, and half to m-c
+    found = gives("a", "m", tri("dc"), F.col("rest") * inv("dc")).unionByName(gives("m", "c", tri("da") / 2, F.col("rest") * inv("da")))
+    sums = save(found.groupBy("a", "b").agg(F.sum("two").alias("two"), F.sum("three").alias("three")), "sums")
+    ends = known.select(F.col("a").alias("id"), F.col("db").alias("d")).unionByName(known.select(F.col("b").alias("id"), F.col("da").alias("d")))
+    back = save(ends.groupBy("id").agg(F.sum(inv("d")).alias("s")), "back")
+    by = lambda c: back.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"))
+    rows = known.join(by("a"), "a").join(by("b"), "b").join(sums, ["a", "b"], "left")
+    # x-y-w-y and x-u-x-y, of which x-y-x-y is both
+    three = F.col("sa") * inv("da") + F.col("sb") * inv("db") - inv("da") * inv("db") + F.coalesce("three", zero)
+    scale = 2.0 / max(1, entries)
+    out = save(rows.select("a", "b", (three * scale).alias("lrw"), ((1.0 + F.coalesce("two", zero) + three) * scale).alias("srw")), "similar")
+    drop(pairs, deg, known, ranked, met, sums, back)
+    return g.edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).distinct().withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).join(out, ["a", "b"]).select("x", "y", "lrw", "srw")
+
+
 def core_numbers(g: Graph, max_rounds: int = 100_000) -> DataFrame:
     """``(id, core)``: the largest k with a subgraph of least degree k around the vertex.
 

@@ -143,6 +143,21 @@ def test_analytics(toy):
     assert kernels.prim_forest(toy.as_undirected()).agg(F.sum("cost")).first()[0] == 278
 
 
+def test_edge_similarity(spark, toy):
+    rng = random.Random(6)
+    edges = sorted({(a, b) for _ in range(160) if (a := rng.randrange(30)) != (b := rng.choice([rng.randrange(30), 0]))})
+    for g in (toy, make(spark, 30, edges)):
+        asked = g.edges.select(F.col("src").alias("x"), F.col("dst").alias("y"))
+        want = {(r.x, r.y): (r.lrw, r.srw) for r in analytics.similarity(g, asked, 3).collect()}
+        got = {(r.x, r.y): (r.lrw, r.srw) for r in analytics.edge_similarity(g).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-12) for k in want)
+
+
+def test_edge_similarity_moves_no_walks(toy, monkeypatch):
+    monkeypatch.setattr(analytics, "similarity", lambda *a: pytest.fail("walks from every vertex"))
+    assert catalog._similar(toy).count() == len(EDGES)
+
+
 def test_sizes_and_codecs(toy):
     assert tuple(toy.summary().first()) == (10, 16, 5, 10) and layout.cal_size(toy).first()[0] == 7
     for form in ("csr", "cal"):
