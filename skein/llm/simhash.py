@@ -151,8 +151,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def shingle_set(text: bytes, shingle: int = STAGE_SHINGLE) -> np.ndarray:
-    """Sorted distinct XXH64 of the word shingles of a UTF-8 text, A-Z lower-cased (fewer words: all of them; none: empty)."""
+def shingle_hashes(text: bytes, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """XXH64 of the word shingles of a UTF-8 text, A-Z lower-cased, repeats included (fewer words: all of them; none: empty)."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -160,7 +160,20 @@ def shingle_set(text: bytes, shingle: int = STAGE_SHINGLE) -> np.ndarray:
     ends = list(accumulate(len(w) + 1 for w in words))
     last = min(shingle, len(words)) - 1
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(line[a : b - 1], SEED) for a, b in zip([0, *ends], ends[last:], strict=False)), np.uint64))
+    return np.fromiter((digest(line[a : b - 1], SEED) for a, b in zip([0, *ends], ends[last:], strict=False)), np.uint64)
+
+
+def shingle_set(text: bytes, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The distinct ones of :func:`shingle_hashes`, sorted."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of hashes: a bit is 1 if it is set in over half of them."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[at : at + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def _set_key(hashes: np.ndarray) -> int:
@@ -172,9 +185,9 @@ def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, key, n, bands, map)`` for every row.
+    """``(id, fp, key, n, bands, map)`` for every row.
 
-    Of the row's set of shingles ``n`` is the number, ``key`` a hash, ``bands``
+    ``fp`` is the SimHash of the row's shingles, repeats included.  Of the row's set of shingles ``n`` is the number, ``key`` a hash, ``bands``
     a hash of each MinHash band (empty set: none), and ``map`` says for each of
     ``MAP_BITS`` values of a shingle's first bits whether an odd number of
     shingles has it.
@@ -182,7 +195,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def make(batch: pa.RecordBatch) -> dict:
         texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
-        sets = [shingle_set(t) for t in texts.to_pylist()]
+        fps, sets = np.zeros(len(texts), np.uint64), []
+        for k, t in enumerate(texts.to_pylist()):
+            hashes = shingle_hashes(t)
+            fps[k] = majority(hashes)
+            sets.append(np.unique(hashes))
         n = np.array([len(x) for x in sets], np.int64)
         flat, full = np.concatenate(sets), n > 0
         starts = (np.cumsum(n) - n)[full]
@@ -192,10 +209,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         cell = np.repeat(np.arange(len(sets)), n) * MAP_BITS + (flat >> np.uint64(64 - MAP_BITS.bit_length() + 1)).astype(np.int64)
         odd = np.packbits((np.bincount(cell, minlength=len(sets) * MAP_BITS) & 1).astype(np.uint8)).view(np.uint64)
         keys = np.array([_set_key(x) for x in sets], np.uint64)
-        return {"id": batch.column(0), "key": keys.view(np.int64), "n": n, "bands": _lists(full * BANDS, bands.reshape(-1)), "map": _lists(full * 0 + MAP_LONGS, odd)}
+        return {"id": batch.column(0), "fp": fps.view(np.int64), "key": keys.view(np.int64), "n": n, "bands": _lists(full * BANDS, bands.reshape(-1)), "map": _lists(full * 0 + MAP_LONGS, odd)}
 
     kind = dict(docs.dtypes)[id_col]
-    return map_batches(docs.select(id_col, text_col), make, f"id {kind}, key long, n long, bands array<long>, map array<long>", text_at=1)
+    return map_batches(docs.select(id_col, text_col), make, f"id {kind}, fp long, key long, n long, bands array<long>, map array<long>", text_at=1)
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -251,10 +268,27 @@ def _alike(pairs: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+def _near_prints(prints: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of keys whose rows share a fingerprint or have two that :func:`links` links.
+
+    Of the keys with one fingerprint the least stands for the others.
+    """
+    held = save(prints.select("fp", "key").distinct(), "held")
+    leads = save(held.groupBy("fp").agg(F.min("key").alias("lead")), "leads")
+    same = held.join(leads, "fp").where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    x, y = leads.select(F.col("fp").alias("a"), F.col("lead").alias("x")), leads.select(F.col("fp").alias("b"), F.col("lead").alias("y"))
+    near = links(leads.select("fp")).join(x, "a").join(y, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    out = save(same.unionByName(near), "near")
+    drop(held, leads)
+    return out
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, component)`` for every row of ``docs``: components of the texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Equal sets are one vertex.  Candidates share a MinHash band.  First, every
+    Equal sets are one vertex.  Candidates have SimHashes over these shingles
+    that pigeonring links, as in :func:`near_duplicates`, or, as sets of
+    similarity 0.8 lie some ten bits apart, share a MinHash band.  First, every
     member of a bucket meets the bucket's smallest and largest key; then only
     members that are still in different components meet, in buckets of more than
     three.  Pairs are pruned, inside that join, by the Hamming distance of their
@@ -272,7 +306,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     what, firsts = groups.select("key", "n", "map"), groups.select("key", "first")
 
     stars = dealt.select(F.explode(F.array("least", "most")).alias("a"), F.col("key").alias("b")).where("a <> b")
-    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = _near_prints(prints)
+    stars = stars.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     x, y = what.alias("x"), what.alias("y")
     stars = stars.join(x, F.col("a") == F.col("x.key")).join(y, (F.col("b") == F.col("y.key")) & _may_be_alike("x", "y")).select("a", "b")
     edges = _alike(save(stars, "stars"), firsts, docs)
@@ -291,7 +326,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     least = known.groupBy("root").agg(F.min("first").alias("component"))
     names = save(known.join(least, "root").select("key", "component"), "names")
     out = save(prints.select("id", "key").join(names, "key").select("id", "component"), "components")
-    drop(prints, groups, dealt, edges, placed, left, comp, rest, known, names)
+    drop(prints, groups, near, dealt, edges, placed, left, comp, rest, known, names)
     return out
 
 

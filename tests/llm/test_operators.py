@@ -143,6 +143,22 @@ def test_stage_keeps_rows_by_id(spark, monkeypatch):
             assert plain(simhash.keep_one(df)) == sorted(((as_id(i), t) for i, t in kept), key=str)
 
 
+def test_stage_links_near_fingerprints(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(600)]
+    texts = [" ".join(w) for w in (base, [*base, "x"], base[:-1], [*base[:599], "y"], base[::-1])]
+    texts += [texts[0] + " " + texts[0], "one phrase " * 90, "one phrase " * 120]  # equal sets of shingles, other counts
+    prints = [simhash.majority(simhash.shingle_hashes(t.encode())) for t in texts]
+    assert prints == [simhash.fingerprint(t.encode(), simhash.STAGE_SHINGLE) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = simhash.signatures
+    # no bands: only fingerprints make candidates
+    monkeypatch.setattr(simhash, "signatures", lambda *a: made(*a).withColumn("bands", F.expr("slice(bands, 1, 0)")))
+    got = {r.id: r.component for r in simhash.similar_documents(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 0, 6: 6, 7: 6}
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {0, 4, 6}
+
+
 def test_stage_links_sets_of_similarity_four_fifths(spark):
     rng = random.Random(5)
     texts = [None, "", " \n", "two words", "Two  WORDS"]
