@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ def id_bits(n: int) -> int:
 def _entries(g: Graph) -> DataFrame:
     """``(id, nbr, incoming, weight)``: the adjacency, with the least weight of the pair's edges."""
     adj = g.adjacency()
+    if not g.weighted:
+        return adj.withColumn("weight", F.lit(1.0))
     out = g.out()
     both = out.select(F.col("src").alias("id"), F.col("dst").alias("nbr"), "weight").unionByName(out.select(F.col("dst").alias("id"), F.col("src").alias("nbr"), "weight"))
     return adj.join(both.groupBy("id", "nbr").agg(F.min("weight").alias("weight")), ["id", "nbr"])
@@ -88,7 +91,9 @@ def write_longs(rows: DataFrame, path: str, size: int | None = None) -> None:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [np.array([v for _, v in sorted((x["word"], x["value"]) for x in block)], "<i8").tobytes() for block in batch.column(1).to_pylist()]
+            flat, ends = batch.column(1).flatten(), np.cumsum(pc.list_value_length(batch.column(1)).to_numpy())
+            words, values = (flat.field(k).to_numpy().astype("<i8") for k in (0, 1))
+            data = [values[a:b][np.argsort(words[a:b])].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["block", "data"])
 
     blocks = rows.groupBy(F.floor(F.col("word") / BLOCK).alias("block")).agg(F.collect_list(F.struct("word", "value")).alias("x")).mapInArrow(pack, "block long, data binary")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +81,17 @@ def read_info(spark: SparkSession, path: str) -> DataFrame:
 
 def page_checksum(spark: SparkSession, path: str, page: int = 4096) -> DataFrame:
     """``(pages, bits, zero_pages)`` of binary files: the OR over all bytes, and pages without a bit."""
-    hexed = spark.read.format("binaryFile").load(path).select(F.hex("content").alias("h"))
-    pages = hexed.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("h") - 1) / (2 * page)).cast("int")), lambda i: F.substring("h", i * (2 * page) + 1, F.lit(2 * page)))).alias("p"))
-    bits = pages.select(F.aggregate(F.transform(F.sequence(F.lit(1), F.length("p"), F.lit(16)), lambda i: F.conv(F.substring("p", i, F.lit(16)), 16, -10).cast("decimal(20,0)").cast("long")), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)).alias("b"))
+
+    # an expression would copy the whole content, or count from its start, for every page
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                data, out = memoryview(content.as_buffer()), []
+                for at in range(0, len(data), page):
+                    p = data[at : at + page]
+                    whole = len(p) // 8 * 8
+                    out.append(int(np.bitwise_or.reduce(np.frombuffer(p[:whole], ">u8"), initial=0)) | int.from_bytes(p[whole:], "big"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(out, np.uint64).view(np.int64))], names=["b"])
+
+    bits = spark.read.format("binaryFile").load(path).select("content").mapInArrow(fold, "b long")
     return bits.agg(F.count("*").alias("pages"), F.bit_or("b").alias("bits"), F.count_if(F.col("b") == 0).alias("zero_pages"))

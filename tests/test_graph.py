@@ -2,6 +2,7 @@
 
 import heapq
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -222,6 +223,18 @@ def test_text_sources(spark, tmp_path):
     assert text.page_checksum(spark, str(tmp_path / "b.bin")).select("pages", "zero_pages").first() == (2, 1)
 
 
+def test_checksum_of_many_pages(spark, tmp_path):
+    # 40 MB: cutting every page from the start of the whole took the square of its size
+    data = np.random.default_rng(1).integers(0, 256, 40_000_003, dtype=np.uint8)
+    data[4096 * 70 : 4096 * 72] = 0
+    (tmp_path / "big.bin").write_bytes(data.tobytes())
+    began = time.perf_counter()
+    assert text.page_checksum(spark, str(tmp_path / "big.bin")).select("pages", "zero_pages").first() == (9766, 2)
+    assert time.perf_counter() - began < 120
+    (tmp_path / "none.bin").write_bytes(b"")
+    assert text.page_checksum(spark, str(tmp_path / "none.bin")).select("pages", "zero_pages").first() == (0, 0)
+
+
 def test_generator():
     s, d = generate.kronecker_range(8, 0, 300)
     a, b = generate.kronecker_range(8, 120, 300)
